@@ -12,7 +12,7 @@ SALTS = 32
 
 def planned_bytes(df: DataFrame) -> int:
     """The size the optimizer plans with; joins and aggregates are estimated upwards."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -98,7 +98,7 @@ _GRAM = 8
 
 
 def _anchored(patterns: DataFrame, pattern_id: str, pattern: str) -> DataFrame:
-    tokens = F.filter(F.split(pattern, r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split("pattern", r"\s+"), lambda t: t != "")
     longest = F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
     return (patterns.select(F.col(pattern_id).alias("pattern_id"), F.col(pattern).alias("pattern"))
             .where(F.col("pattern").isNotNull() & (F.col("pattern") != ""))

@@ -143,6 +143,12 @@ def index_figures(disputes: DataFrame, archives: DataFrame, people: DataFrame, c
     return reduce(DataFrame.unionByName, cells)
 
 
+def moroccan_authored(sources: DataFrame, above: int = 0) -> DataFrame:
+    """Arabic sources of a Moroccan-authored tier; ``drifted`` once more than ``above`` exist."""
+    found = sources.where(F.array_contains("language", "Arabic") & F.col("tier").isin(fixed.MOROCCAN_AUTHORED_TIERS))
+    return found.withColumn("drifted", found.agg(F.count(F.lit(1))).scalar() > above)
+
+
 def headings(documents: DataFrame, slug: str = "slug", body: str = "body") -> DataFrame:
     """Contents list of each document: ``(slug, line_no, depth, title)``, fences skipped."""
     from pyspark.sql import Window

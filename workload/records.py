@@ -32,7 +32,7 @@ def letters(index: str) -> str:
 GIVEN = ["Mohamed", "Mohammed", "Moha", "Mouha", "Muḥa", "Ahmed", "Hammou", "Ḥemmu", "Abd el-Krim"]
 MIDDLE = ["ou", "ben", "Sellam", "ou Said", "Ben Hammou"]
 FAMILY = ["Zayani", "Zaïani", "Aẓayyi", "Ameziane", "El Khattabi", "Khattabi", "Raisuni", "Raïssouni", "Tazi",
-          "Glaoui", "El Glaoui", "Hiba", "محا أو حمو"]
+          "Glaoui", "El Glaoui", "Hiba", "Oufkir"]
 
 # A body with headings, fences and graded claims before the document's own text.
 _NL = "chr(10)"
@@ -63,7 +63,7 @@ RECORDS["people"] = (("customer", "bodies"), f"""
            (CASE c_custkey % 4
               WHEN 0 THEN 'Fr. archives: ''Moha ou Hammou'', ''le caïd ' || c_name || ''', des Zaïanes · Tamazight: Muḥa'
               WHEN 1 THEN 'Mohammed Sellam Ameziane · ' || c_name
-              WHEN 2 THEN 'Name as supplied here by one. Do not merge ' || c_name ELSE NULL END) AS aliasesRaw,
+              WHEN 2 THEN 'Name as supplied here by one. Do not merge ' || c_name ELSE 'Ar.: محا أو حمو ' || c_name END) AS aliasesRaw,
            (CASE c_custkey % 5 WHEN 0 THEN '18' || CAST(36 + c_custkey % 60 AS STRING) || ' (conventional). Some give 1857'
               WHEN 1 THEN '1836-01-01' WHEN 2 THEN 'not established' WHEN 3 THEN ' ' ELSE 'c. 19' || CAST(10 + c_custkey % 80 AS STRING) END) AS born,
            (CASE c_custkey % 3 WHEN 0 THEN '1921' WHEN 1 THEN NULL ELSE '1934-05-26T00:00' END) AS died,
@@ -81,7 +81,7 @@ RECORDS["people"] = (("customer", "bodies"), f"""
            (CASE c_custkey % 4 WHEN 0 THEN 'I think he led ' || CAST(c_custkey AS STRING) || ' to ' || CAST(c_custkey + 300 AS STRING) || ' men.'
               WHEN 1 THEN 'A rebelle of the Rif.' WHEN 2 THEN 'Estimated at about 8,000 dead in 1958.' ELSE NULL END) AS oneLine,
            (CASE WHEN c_custkey % 3 = 0 THEN 'The date of his investiture.' ELSE NULL END) AS contestedPoints,
-           b.body AS body
+           b.body || (CASE WHEN c_custkey % 50 = 0 THEN chr(10) || 'See small ring reports on the ring. NOT YET VERIFIED' ELSE '' END) AS body
     FROM {{customer}} LEFT JOIN {{bodies}} b ON b.ord = c_custkey""")
 
 RECORDS["sources"] = (("part",), f"""

@@ -20,12 +20,14 @@ def search_keys(t):
 
 
 @query("match_keys", f"""
-    WITH n AS (SELECT slug, name, {S.match_fold('name')} AS f FROM rec_people)
+    WITH b AS (SELECT slug, name FROM rec_people UNION ALL SELECT slug, aliasesRaw FROM rec_people),
+         n AS (SELECT slug, name, {S.match_fold('name')} AS f FROM b)
     SELECT slug, array_to_string({S.fold_tokens('name', 'f')}, ' ') AS key, {S.fold_ordered('name', 'f')} AS ordered,
            {S.arabic('name')} AS arabic FROM n""", ("people",))
 def match_keys(t):
     n = F.col("name")
-    return t.people.select("slug", N.fold_key(n).alias("key"), N.fold_ordered(n).alias("ordered"), N.has_arabic(n).alias("arabic"))
+    both = t.people.select("slug", "name").unionByName(t.people.select("slug", F.col("aliasesRaw").alias("name")))
+    return both.select("slug", N.fold_key(n).alias("key"), N.fold_ordered(n).alias("ordered"), N.has_arabic(n).alias("arabic"))
 
 
 @query("document_match_keys", f"""
@@ -39,7 +41,7 @@ def document_match_keys(t):
     WITH s AS (SELECT slug, aliasesRaw, ord % 4 AS k, 'Customer#' || lpad(CAST(ord AS STRING), 9, '0') AS c FROM rec_people WHERE aliasesRaw IS NOT NULL)
     SELECT slug, unnest(CASE k WHEN 0 THEN ['Moha ou Hammou', 'le caïd ' || c, 'des Zaïanes', 'Muḥa']
                                WHEN 1 THEN ['Mohammed Sellam Ameziane', c]
-                               ELSE ['Name as supplied here by one. Do not merge ' || c] END) AS spelling FROM s""", ("people",))
+                               WHEN 2 THEN ['Name as supplied here by one. Do not merge ' || c] ELSE ['محا أو حمو ' || c] END) AS spelling FROM s""", ("people",))
 def alias_spellings(t):
     return t.people.select("slug", F.explode(N.split_aliases(F.col("aliasesRaw"))).alias("spelling"))
 
@@ -48,10 +50,10 @@ def alias_spellings(t):
     WITH s AS (SELECT slug, ord % 4 AS k, 'Customer#' || lpad(CAST(ord AS STRING), 9, '0') AS c FROM rec_people),
          v AS (SELECT slug, unnest(CASE k WHEN 0 THEN ['Moha ou Hammou', 'le caïd ' || c, 'des Zaïanes', 'Muḥa']
                                WHEN 1 THEN ['Mohammed Sellam Ameziane', c]
-                               WHEN 2 THEN ['Name as supplied here by one. Do not merge ' || c] ELSE [] END) AS value,
+                               WHEN 2 THEN ['Name as supplied here by one. Do not merge ' || c] ELSE ['محا أو حمو ' || c] END) AS value,
                       unnest(CASE k WHEN 0 THEN ['Fr. archives', 'Fr. archives', 'Fr. archives', 'Tamazight']
-                               WHEN 1 THEN [NULL, NULL] WHEN 2 THEN [NULL] ELSE [] END) AS tradition FROM s)
-    SELECT slug, value, tradition, 'latin' AS script, {S.search_fold('value')} AS folded, value LIKE 'Name as%' AS is_note FROM v""",
+                               WHEN 1 THEN [NULL, NULL] WHEN 2 THEN [NULL] ELSE ['Ar'] END) AS tradition FROM s)
+    SELECT slug, value, tradition, CASE WHEN value LIKE 'محا%' THEN 'arabic' ELSE 'latin' END AS script, {S.search_fold('value')} AS folded, value LIKE 'Name as%' AS is_note FROM v""",
        ("people",))
 def alias_records(t):
     rows = t.people.select("slug", F.explode(N.parse_aliases(F.col("aliasesRaw"))).alias("a"))

@@ -60,6 +60,11 @@ def _fold_latin(c: Column) -> Column:
     return F.regexp_replace(replace_all(c, fixed.SPELLING), r"(.)\1+", "$1")
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate a value once and use it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _pieces(c: Column, separators: str) -> Column:
     return F.filter(F.split(c, separators), lambda t: t != "")
 
@@ -72,11 +77,15 @@ def fold_tokens(c: Column) -> Column:
 
     A name made only of those keeps them: it is still a name.
     """
-    c = F.coalesce(c, F.lit(""))
-    every = _pieces(_fold_latin(c), _ANY_SCRIPT)
-    kept = F.filter(every, lambda t: ~t.isin(fixed.PARTICLES) & (F.length(t) > 1))
-    latin = F.when(F.size(kept) > 0, kept).otherwise(every)
-    return F.array_sort(F.when(has_arabic(c), _pieces(fold_arabic(c), _ANY_SCRIPT)).otherwise(latin))
+    def latin(every):
+        kept = F.filter(every, lambda t: ~t.isin(fixed.PARTICLES) & (F.length(t) > 1))
+        return _let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(every))
+
+    def tokens(name):
+        return F.when(has_arabic(name), _pieces(fold_arabic(name), _ANY_SCRIPT)).otherwise(
+            _let(_pieces(_fold_latin(name), _ANY_SCRIPT), latin))
+
+    return F.array_sort(_let(F.coalesce(c, F.lit("")), tokens))
 
 
 def fold_key(c: Column) -> Column:

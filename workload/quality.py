@@ -34,11 +34,15 @@ class Snapshot:
             .withColumn("fromName", F.col("from")).withColumn("toName", F.col("to")),
         }
 
+        self._built = {}
+
     def get(self, name):
-        return self._of[name]() if name in self._of else None
+        if name in self._of and name not in self._built:
+            self._built[name] = self._of[name]()
+        return self._built.get(name)
 
     def __getitem__(self, name):
-        return self._of[name]()
+        return self.get(name)
 
 
 def shown(findings):
@@ -107,18 +111,18 @@ _ITEM = [f.replace("(?i)", "") for f, _ in fixed.ITEM_LEVEL]
                    UNION ALL SELECT 'archives', slug, institution, fonds FROM rec_archives WHERE verification = 'NOT YET VERIFIED'),
          m AS (SELECT * FROM found WHERE ref IS NULL OR NOT contains(ref, 'NOT YET VERIFIED')),
          heads AS (SELECT DISTINCT substring(title, 1, 24) AS head FROM m),
-         named AS (SELECT DISTINCT head FROM heads JOIN rec_people p ON contains(p.body, head)),
+         named AS (SELECT DISTINCT head FROM heads JOIN rec_dossiers p ON contains(p.body, head)),
          hits AS (
            SELECT collection, slug, ref, unnest(regexp_extract_all(ref, '\\b(\\d?[A-Z]{{1,3}}\\s?\\d{{2,5}})\\b(\\s*[–—-]\\s*\\d)?', 1)) AS hit,
                   unnest(regexp_extract_all(ref, '\\b(\\d?[A-Z]{{1,3}}\\s?\\d{{2,5}})\\b(\\s*[–—-]\\s*\\d)?', 2)) AS tail FROM found
            UNION ALL SELECT collection, slug, ref, unnest(regexp_extract_all(ref, '\\b[A-Z]{{2,3}}(?:\\.[A-Z]{{2,4}})*\\.?\\s?\\d{{2,5}}[/-]\\d{{1,3}}\\b')), '' FROM found
            UNION ALL SELECT collection, slug, ref, unnest(regexp_extract_all(ref, {quoted(fixed.ITEM_LEVEL[2][0])})), '' FROM found)
     SELECT 'error' AS severity, collection, slug, 'archivalReference' AS field, 'Verification is NOT YET VERIFIED but the literal words appear nowhere' AS message
-    FROM m WHERE substring(title, 1, 24) NOT IN (SELECT head FROM named) OR NOT EXISTS (SELECT 1 FROM rec_people WHERE contains(body, 'NOT YET VERIFIED'))
+    FROM m WHERE substring(title, 1, 24) NOT IN (SELECT head FROM named) OR NOT EXISTS (SELECT 1 FROM rec_dossiers WHERE contains(body, 'NOT YET VERIFIED'))
     UNION ALL SELECT 'error', collection, slug, 'archivalReference', 'Item-level citation "' || hit || '" on a record marked NOT YET VERIFIED'
-    FROM hits WHERE coalesce(tail, '') = '' AND NOT regexp_matches(ref, '(?i)' || {quoted(fixed.SERIES_LEVEL)})""", ("people", "sources", "archives"))
+    FROM hits WHERE coalesce(tail, '') = '' AND NOT regexp_matches(ref, '(?i)' || {quoted(fixed.SERIES_LEVEL)})""", ("dossiers", "sources", "archives"))
 def rule_references(t):
-    return shown(R.r02(Snapshot(t), SETTINGS))
+    return shown(R.r02(Snapshot(t, "dossiers"), SETTINGS))
 
 
 # ------------------------------------------------------------------ R03
@@ -126,8 +130,8 @@ _FORMS = [(q[1], v, form, [c.lower() for c in q[5]], [f for x in q[2] if x != v
           for q in fixed.QUANTITIES for v in q[2] for form in ([f"{v:,}", str(v)] if v >= 1000 else [str(v)])]
 _LIST = lambda xs: "[" + ", ".join(quoted(x) for x in xs) + "]"
 _TEXTS = """
-    t AS (SELECT 'people' AS collection, slug, 'oneLine' AS field, oneLine AS text FROM rec_people
-          UNION ALL SELECT 'people', slug, 'contestedPoints', contestedPoints FROM rec_people UNION ALL SELECT 'people', slug, 'body', body FROM rec_people
+    t AS (SELECT 'people' AS collection, slug, 'oneLine' AS field, oneLine AS text FROM rec_dossiers
+          UNION ALL SELECT 'people', slug, 'contestedPoints', contestedPoints FROM rec_dossiers UNION ALL SELECT 'people', slug, 'body', body FROM rec_dossiers
           UNION ALL SELECT 'events', slug, 'summary', summary FROM rec_incidents UNION ALL SELECT 'events', slug, 'mainDispute', mainDispute FROM rec_incidents
           UNION ALL SELECT 'sources', slug, 'covers', covers FROM rec_sources UNION ALL SELECT 'sources', slug, 'biasNotes', biasNotes FROM rec_sources)"""
 _ALONE = lambda text, form: (f"regexp_matches({text}, '(^|[^0-9.,])' || {form} || '($|[^0-9.,]|[.,]$|[.,][^0-9])')")
@@ -149,9 +153,9 @@ _ALONE = lambda text, form: (f"regexp_matches({text}, '(^|[^0-9.,])' || {form} |
     WHERE len(list_filter(context, lambda c: contains(topic, c))) > 0
       AND len(list_filter(regexp_extract_all(sentence, '(?:^|[^0-9.,])([0-9][0-9,]*\\s*(?:[–—-]|to|and)\\s*[0-9][0-9,]*)(?:[^0-9.,]|$)', 1), lambda r: contains(r, form))) = 0
       AND len(list_filter(siblings, lambda x: {_ALONE('sentence', 'x')})) = 0
-      AND NOT regexp_matches(sentence, '(?i)' || {quoted(fixed.QUALIFIED)})""", ("people", "incidents", "sources"))
+      AND NOT regexp_matches(sentence, '(?i)' || {quoted(fixed.QUALIFIED)})""", ("dossiers", "incidents", "sources"))
 def rule_bare_figures(t):
-    return shown(R.r03(Snapshot(t), SETTINGS))
+    return shown(R.r03(Snapshot(t, "dossiers"), SETTINGS))
 
 
 # ------------------------------------------------------------------ R04 and its publishing variant
@@ -173,15 +177,15 @@ _UNMARKED = """NOT ((regexp_matches(b3, '["“”''‘’«»]$') AND regexp_mat
 
 
 @query("rule_terms", f"""
-    WITH t AS (SELECT 'people' AS collection, slug, 'oneLine' AS field, oneLine AS text FROM rec_people UNION ALL SELECT 'people', slug, 'body', body FROM rec_people
+    WITH t AS (SELECT 'people' AS collection, slug, 'oneLine' AS field, oneLine AS text FROM rec_dossiers UNION ALL SELECT 'people', slug, 'body', body FROM rec_dossiers
                UNION ALL SELECT 'events', slug, 'summary', summary FROM rec_incidents),
     l0 AS (SELECT collection, slug, field, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line FROM t),
     l AS (SELECT * FROM l0 WHERE NOT regexp_matches(line, '^\\s*>') AND NOT regexp_matches(line, '(?i)' || {quoted(fixed.EXPLANATORY)})
             AND NOT regexp_matches(line, '(?i)' || {quoted(fixed.ATTRIBUTED)})),
     {_term_hits(fixed.TERM_WATCHLIST, 'l')}
-    SELECT 'warn' AS severity, collection, slug, field, 'Unmarked colonial term "' || hit || '"' AS message FROM z WHERE {_UNMARKED}""", ("people", "incidents"))
+    SELECT 'warn' AS severity, collection, slug, field, 'Unmarked colonial term "' || hit || '"' AS message FROM z WHERE {_UNMARKED}""", ("dossiers", "incidents"))
 def rule_terms(t):
-    return shown(R.r04(Snapshot(t), SETTINGS))
+    return shown(R.r04(Snapshot(t, "dossiers"), SETTINGS))
 
 
 @query("publish_terms", f"""
@@ -236,9 +240,9 @@ def rule_verbatim_dates(t):
 
 @query("rule_dispute_markers", f"""
     SELECT 'warn' AS severity, 'people' AS collection, slug, NULL AS field, 'Contested points recorded, but no Disputed/Unknown/Contested marker in the body' AS message
-    FROM rec_people WHERE contestedPoints <> '' AND {S.strip("coalesce(body, '')")} <> '' AND NOT regexp_matches(body, '(?im)' || {quoted(fixed.DISPUTE_MARKER)})""", ("people",))
+    FROM rec_dossiers WHERE contestedPoints <> '' AND {S.strip("coalesce(body, '')")} <> '' AND NOT regexp_matches(body, '(?im)' || {quoted(fixed.DISPUTE_MARKER)})""", ("dossiers",))
 def rule_dispute_markers(t):
-    return shown(R.r07(Snapshot(t), SETTINGS))
+    return shown(R.r07(Snapshot(t, "dossiers"), SETTINGS))
 
 
 @query("rule_assessments", f"""

@@ -54,7 +54,7 @@ RECORDS["bodies"] = (("documents",), f"""
     f"WHEN {i} THEN {b.replace('nl', _NL)}" for i, b in enumerate(_BODIES)) + """ END) || text AS body
     FROM {documents}""")
 
-RECORDS["people"] = (("customer", "bodies"), f"""
+RECORDS["people"] = (("customer",), f"""
     SELECT c_custkey AS ord, 'p-' || CAST(c_custkey AS STRING) AS slug,
            md5('person' || CAST(c_custkey AS STRING)) AS notionId,
            {pick('c_custkey', GIVEN)} || ' ' || {pick(over('c_custkey', 9), MIDDLE)} || ' ' ||
@@ -80,9 +80,12 @@ RECORDS["people"] = (("customer", "bodies"), f"""
            (CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE '2026-0' || CAST(1 + c_custkey % 8 AS STRING) || '-1' || CAST(c_custkey % 10 AS STRING) END) AS lastReviewed,
            (CASE c_custkey % 4 WHEN 0 THEN 'I think he led ' || CAST(c_custkey AS STRING) || ' to ' || CAST(c_custkey + 300 AS STRING) || ' men.'
               WHEN 1 THEN 'A rebelle of the Rif.' WHEN 2 THEN 'Estimated at about 8,000 dead in 1958.' ELSE NULL END) AS oneLine,
-           (CASE WHEN c_custkey % 3 = 0 THEN 'The date of his investiture.' ELSE NULL END) AS contestedPoints,
-           b.body || (CASE WHEN c_custkey % 50 = 0 THEN chr(10) || 'See small ring reports on the ring. NOT YET VERIFIED' ELSE '' END) AS body
-    FROM {{customer}} LEFT JOIN {{bodies}} b ON b.ord = c_custkey""")
+           (CASE WHEN c_custkey % 3 = 0 THEN 'The date of his investiture.' ELSE NULL END) AS contestedPoints
+    FROM {{customer}}""")
+
+RECORDS["dossiers"] = (("people", "bodies"), """
+    SELECT p.*, b.body || (CASE WHEN p.ord % 50 = 0 THEN chr(10) || 'See small ring reports on the ring. NOT YET VERIFIED' ELSE '' END) AS body
+    FROM {people} p LEFT JOIN {bodies} b ON b.ord = p.ord""")
 
 RECORDS["sources"] = (("part",), f"""
     SELECT p_partkey AS ord, 's-' || CAST(p_partkey AS STRING) AS slug,
@@ -171,8 +174,8 @@ RECORDS["disputes"] = (("orders",), f"""
 
 # Two dated states of the same people: the later one misses some and gains others, and
 # some fields have moved.
-RECORDS["people_before"] = (("people",), "SELECT * FROM {people} WHERE ord % 17 <> 0")
-RECORDS["people_after"] = (("people",), """
+RECORDS["people_before"] = (("dossiers",), "SELECT * FROM {dossiers} WHERE ord % 17 <> 0")
+RECORDS["people_after"] = (("dossiers",), """
     SELECT ord, slug, notionId, name, aliasesRaw, born, died, category, region, phase, dossierStatus,
            (CASE WHEN ord % 7 = 0 AND evidenceBase = 'Thin - encyclopedic leads only' THEN 'Moderate - academic' ELSE evidenceBase END) AS evidenceBase,
            impact, (CASE ord % 10 WHEN 0 THEN NULL WHEN 1 THEN assessment || ' Revised.' ELSE assessment END) AS assessment,
@@ -180,7 +183,7 @@ RECORDS["people_after"] = (("people",), """
            (CASE WHEN ord % 4 = 0 AND ord % 8 = 0 THEN 'He led ' || CAST(ord + 300 AS STRING) || ' men.'
                  WHEN ord % 4 = 2 AND ord % 3 = 0 THEN 'There were 8,000 dead in 1958.' ELSE oneLine END) AS oneLine,
            (CASE WHEN ord % 9 = 0 THEN NULL ELSE contestedPoints END) AS contestedPoints, body
-    FROM {people} WHERE ord % 13 <> 0""")
+    FROM {dossiers} WHERE ord % 13 <> 0""")
 RECORDS["sources_before"] = (("sources",), "SELECT * FROM {sources} WHERE ord % 97 <> 0")
 RECORDS["sources_after"] = (("sources",), """
     SELECT ord, slug, notionId, title, author, publisher, language,

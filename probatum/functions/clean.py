@@ -91,7 +91,7 @@ def _parties(positions: Column) -> Column:
 
 
 def figure_range(values: Column) -> Column:
-    """Sorted values with their relative position; a range of one sits at 1."""
+    """Sorted values with their relative position; equal ends count as a span of 1."""
     low, high = F.array_min(values), F.array_max(values)
     span = F.when(high == low, F.lit(1)).otherwise(high - low)
     return F.transform(F.array_sort(values), lambda v: F.struct(

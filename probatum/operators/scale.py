@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,21 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return planned_bytes(df) <= limit
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute a frame once, for several uses, in the session's checkpoint folder.
+
+    The folder is the one named in ``spark.checkpoint.dir``.  Only a local session may
+    do without; a cluster needs a folder that all machines share.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
                 limit: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS,
                 salts: int = SALTS) -> DataFrame:

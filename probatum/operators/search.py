@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from probatum.functions.clean import place_line
 from probatum.functions.names import fold
 from probatum.functions.text import strip
-from probatum.operators.scale import containment_pairs, lookup_join
+from probatum.operators.scale import containment_pairs, cut_lineage, lookup_join
 
 TOP = 60
 
@@ -69,7 +69,8 @@ def score_records(index: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("qid", strip(F.col("raw")).alias("raw"))
     asked = asked.where("raw <> ''").withColumn("q", F.coalesce(F.nullif(fold(F.col("raw")), F.lit("")), F.lower("raw")))
-    terms = inverted(index)
+    # folded once; the vocabularies and both look-ups read it
+    terms = cut_lineage(inverted(index))
     distinct = lambda c: terms.where(F.col(c).isNotNull()).select(F.col(c).alias("t")).distinct()
 
     def matches(pattern, kind):

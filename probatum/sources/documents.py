@@ -11,8 +11,8 @@ from probatum.operators.scale import list_pages
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """``(path, slug, front, body)`` of a tree of markdown files."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.md*").text(root).withColumn("path", F.input_file_name()))
+    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md*")
+           .text(root, wholetext=True).withColumn("path", F.input_file_name()))
     front, body = frontmatter_parts(F.col("value"))
     fields = frontmatter_map(front)
     name = F.regexp_extract("path", r"([^/]+)\.mdx?$", 1)
@@ -27,8 +27,8 @@ def prose_bodies(documents: DataFrame) -> DataFrame:
 
 def read_html(spark: SparkSession, root: str) -> DataFrame:
     """``(path, html)`` of all HTML files under a directory."""
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.html").text(root).select(F.input_file_name().alias("path"), F.col("value").alias("html")))
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.html")
+            .text(root, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html")))
 
 
 def write_bodies(bodies: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probatum.operators.scale import cut_lineage
 from probatum.plans.compare import Comparison
 from probatum.plans.validate import Result, counts_by_rule, severity_rank
 
@@ -14,6 +15,12 @@ _HEADINGS = [("Errors", "error"), ("Warnings", "warn"), ("Notes", "info")]
 _LINE = "section int, rank int, rule string, slug string, line string"
 
 
+def _computed(result: Result, comparison: Comparison | None) -> tuple[Result, Comparison | None]:
+    """Findings and changes computed once: each section of a report reads them again."""
+    once = Result(cut_lineage(result.findings), result.skipped)
+    return once, comparison and Comparison(cut_lineage(comparison.changes), cut_lineage(comparison.suspicious))
+
+
 def _where() -> Column:
     return F.concat_ws(" / ", "collection", "slug", "field")
 
@@ -44,6 +51,7 @@ def markdown(result: Result, health: DataFrame, taken_at: str, origin: str, comp
     Suspicious changes come first; a section without content says so.
     """
     spark = result.findings.sparkSession
+    result, comparison = _computed(result, comparison)
     rows = lambda df, section: df.select(F.lit(section).alias("section"), F.lit(1).alias("rank"), "rule",
                                          F.coalesce("slug", F.lit("")).alias("slug"), finding_line().alias("line"))
     parts = [_fixed(spark, [(0, 0, f"# Integrity report — {taken_at[:10]}"), (0, 1, f"Snapshot of {taken_at[:10]} (origin: {origin})."),
@@ -79,6 +87,7 @@ def markdown(result: Result, health: DataFrame, taken_at: str, origin: str, comp
 def json_lines(result: Result, health: DataFrame, taken_at: str, origin: str, comparison: Comparison | None = None) -> DataFrame:
     """The report as JSON lines: one head with the counts, then one line per finding."""
     spark = result.findings.sparkSession
+    result, comparison = _computed(result, comparison)
     numbers = health.agg(F.sort_array(F.collect_list(F.struct("dimension", "value", "n"))).alias("health"))
     volume = (comparison.volume().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("changeVolume"))
               if comparison is not None else spark.createDataFrame([(None,)], "changeVolume map<string,bigint>"))

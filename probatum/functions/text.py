@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = Fals
     flags = ("iu" if ignore_case else "") + ("m" if multiline else "") + ("s" if dotall else "")
     body = pattern.replace(r"\b", BOUNDARY)
     body = re.sub(r"\\s", lambda _: _SPACE, body)
+    # most characters are no digits, and that is cheaper to see than what stands before
+    body = body.replace(r"(?<![\d.,])", r"(?=\d)(?<![\d.,])")
     return (f"(?{flags})" if flags else "") + body
 
 
@@ -39,6 +42,18 @@ def any_literal(terms, ignore_case: bool = True, bounded: bool = True) -> str:
     return java_pattern(f"{edge}({alternatives}){edge}", ignore_case)
 
 
+def holds_literal(text: Column, literals) -> Column:
+    """Cheap test for any of some texts, in their case."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+
+
+def holds_term(text: Column, terms) -> Column:
+    """Cheap test for any of some terms in any case, without regard to word boundaries."""
+    # the text is lower-cased once for all terms
+    found = F.transform(F.array(F.lower(text)), lambda low: holds_literal(low, [t.lower() for t in terms]))
+    return F.get(found, F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -118,8 +133,7 @@ def sentence_at(text: Column, start: Column, pipes: bool = True) -> Column:
     closers = [". ", "\n"] + ([" |"] if pipes else [])
 
     def shortest(parts):
-        return F.reduce(F.array(*parts[1:]), parts[0],
-                        lambda a, b: F.when(F.length(b) < F.length(a), b).otherwise(a))
+        return F.least(*[F.struct(F.length(p).alias("n"), p.alias("part")) for p in parts])["part"]
 
     head = shortest([F.substring_index(left, d, -1) for d in openers])
     tail = shortest([F.substring_index(right, d, 1) for d in closers])
@@ -132,9 +146,13 @@ def number_forms(value: int) -> list[str]:
 
 
 def number_pattern(values) -> str:
-    """A standalone number, plain or with thousands commas, from a known list."""
-    forms = [f for v in values for f in number_forms(v)]
-    return r"(?<![\d.,])(" + "|".join(sorted(set(forms), key=len, reverse=True)) + r")(?![\d]|[.,]\d)"
+    """A standalone number, plain or with thousands commas, from a known list.
+
+    What stands before is looked at after the digits matched, which few places do.
+    """
+    forms = sorted({f for v in values for f in number_forms(v)}, key=len, reverse=True)
+    alone = "|".join(rf"{f}(?<![\d.,].{{{len(f)}}})" for f in forms)
+    return rf"(?=\d)(?:{alone})(?![\d]|[.,]\d)"
 
 
 def holds_number(text: Column, number: Column) -> Column:

@@ -132,11 +132,13 @@ def _anchor_words(anchors: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(anchor, word) where the word contains the anchor, by equality of short pieces."""
     heads = anchors.select("anchor").distinct().withColumn(
         "piece", F.substring("anchor", 1, _GRAM))
-    starts = F.sequence(F.lit(1), F.length("word"))
-    pieces = F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.length("word") - s + 1)),
-        lambda n: F.substring(F.col("word"), s, n))))
-    grams = vocabulary.select("word", F.explode(F.array_distinct(pieces)).alias("piece"))
+    # only pieces as long as some anchor's: at most _GRAM lengths
+    lengths = heads.select(F.length("piece").alias("n")).distinct()
+    sized = vocabulary.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.length("word")))).alias("n"))
+    sized = sized.join(F.broadcast(lengths), "n", "left_semi")
+    starts = F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)
+    pieces = F.array_distinct(F.transform(starts, lambda s: F.substring(F.col("word"), s, F.col("n"))))
+    grams = sized.select("word", F.explode(pieces).alias("piece"))
     return (grams.join(heads, "piece").where(F.contains("word", F.col("anchor")))
             .select("anchor", "word"))
 

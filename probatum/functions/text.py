@@ -98,13 +98,17 @@ def excerpt(text: Column, marker: Column, radius: int = 60) -> Column:
 
 
 # ------------------------------------------------------------------ positions
+_MARK = "\u0001"
+
+
 def match_positions(text: Column, pattern: str) -> Column:
     """All matches of a pattern as ``array<struct<start:int, hit:string>>`` (0-based).
 
     Spark reports matches but not where they are; the text between the matches gives
     the offsets.  Call it behind a filter that keeps only rows with a match.
     """
-    gaps = F.split(text, pattern, -1)
+    # a marker instead of the matches: splitting at one character needs no regex
+    gaps = F.split(F.regexp_replace(F.translate(text, _MARK, " "), pattern, _MARK), _MARK, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.struct(F.lit(0).alias("at"),
                      F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
@@ -162,6 +166,11 @@ def holds_number(text: Column, number: Column) -> Column:
     return F.regexp_like(text, pattern)
 
 
+def numbers(text: Column) -> Column:
+    """All standalone numbers of a text, as written."""
+    return F.regexp_extract_all(text, F.lit(java_pattern(fixed.NUMBER_EXPRESSION)), F.lit(0))
+
+
 def ranges(text: Column) -> Column:
     """Written ranges as ``array<struct<low, high, key>>``; only rising ones count."""
     pattern = java_pattern(fixed.RANGE_EXPRESSION, ignore_case=True)

@@ -168,7 +168,8 @@ def contained_somewhere(patterns: DataFrame, texts: DataFrame, pattern_id: str,
     """The ids of patterns that at least one text contains."""
     anchored = _anchored(patterns, pattern_id, pattern)
     words = _words(texts, text_id, text)
-    hits = _anchor_words(anchored, words.select("word").distinct())
+    # small, and read twice
+    hits = cut_lineage(_anchor_words(anchored, words.select("word").distinct()))
     alone = (anchored.where("single")
              .join(hits.select("anchor").distinct(), "anchor", "left_semi").select("pattern_id"))
     several = anchored.where("NOT single")

@@ -84,7 +84,7 @@ RECORDS["people"] = (("customer",), f"""
     FROM {{customer}}""")
 
 RECORDS["dossiers"] = (("people", "bodies"), """
-    SELECT p.*, b.body || (CASE WHEN p.ord % 50 = 0 THEN chr(10) || 'See small ring reports on the ring. NOT YET VERIFIED' ELSE '' END) AS body
+    SELECT /*+ MERGE(b) */ p.*, b.body || (CASE WHEN p.ord % 50 = 0 THEN chr(10) || 'See small ring reports on the ring. NOT YET VERIFIED' ELSE '' END) AS body
     FROM {people} p LEFT JOIN {bodies} b ON b.ord = p.ord""")
 
 RECORDS["sources"] = (("part",), f"""

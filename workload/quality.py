@@ -1,6 +1,5 @@
 """Data-quality rules over the derived records."""
 
-import dataclasses
 from datetime import date
 
 from pyspark.sql import functions as F

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import exact_dedup, mixing, repetition, simhash
+from probatum.llm import exact_dedup, licenses, mixing, repetition, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +35,28 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     return docs.select("doc_id", *[F.col(f"quality.{c}") for c in first + more])
 
 
+@query("op3_warc_index_merge", """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+  FROM pages)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+         ((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM hashed
+""")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    archive = warc.Archive.write(_table(spark, root, "pages"))
+    return archive.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_diagonal_licenses")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scan(_table(spark, root, "documents"))
+
+
 @query("op7_covering_simhash")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, root, "documents"))

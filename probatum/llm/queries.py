@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import exact_dedup, licenses, mixing, repetition, simhash, warc
+from probatum.llm import exact_dedup, licenses, mixing, nbsvm, repetition, simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,11 +57,22 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
     return licenses.scan(_table(spark, root, "documents"))
 
 
+@query("op5_naive_bayes_svm")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return nbsvm.classify(_table(spark, root, "documents"), _table(spark, root, "labels"))
+
+
 @query("op7_covering_simhash")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, root, "documents"))
 
 
+@query("op8_token_files")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    files = token_files.TokenFiles.write(_table(spark, root, "documents"))
+    return files.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op9_digest_index", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

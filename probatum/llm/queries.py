@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import exact_dedup, licenses, mixing, nbsvm, repetition, simhash, token_files, warc
+from probatum.llm import bpe, exact_dedup, licenses, mixing, nbsvm, ppm, repetition, simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,18 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    """Digests of ids and decoded texts."""
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op1_partial_matching")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    return ppm.score(_table(spark, root, "documents"))
+
+
 @query("op2_repetition_rules")
 def op2(spark: SparkSession, root: str) -> DataFrame:
     docs = repetition.measured(_table(spark, root, "documents").select("doc_id", "text"))
@@ -62,6 +74,11 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
     return nbsvm.classify(_table(spark, root, "documents"), _table(spark, root, "labels"))
 
 
+@query("op6_distinct_word_bpe")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return bpe_digests(bpe.encode(_table(spark, root, "documents")))
+
+
 @query("op7_covering_simhash")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, root, "documents"))

@@ -146,8 +146,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     kind = docs.schema[doc_id].dataType.simpleString()
     packed = with_packs(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     # dealt by word once, for the distinct words and for the join that follows
-    asked = packed.select("pack", "text").mapInArrow(_distinct_words(path), "pack bigint, word string").repartition("word")
-    # the count is never 0: with it both readers of that exchange want the same columns, and Spark makes it once
+    asked = packed.select("pack", "text").mapInArrow(_distinct_words(path), "pack bigint, word string").where("word IS NOT NULL").repartition("word")
+    # words are never null and the count never 0: with both, the readers of that exchange are alike and Spark makes it once
     distinct = asked.groupBy("word").agg(F.count("pack").alias("n_packs")).where("n_packs > 0").select("word")
     table = decode_words(encode_words(distinct, path), path)
     changed = F.when(F.col("decoded") != F.col("word"), F.col("decoded"))

@@ -61,8 +61,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, offset: float = 0.5) -> DataFrame:
-    """``doc_id, size, source, source_size, target, copies, taken`` for every row.
+        weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, offset: float = 0.5,
+        carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, source, source_size, target, copies, taken``, and the columns in ``carry``, for every row.
 
     ``size`` counts words between ASCII white space (null text: 0); ``copies`` is 0 to
     ``most``; ``taken`` = copies times size.  ``offset`` in [0, 1) is the random start; the
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     gives no rows; further columns are not read.
     """
     rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                               F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "sizes")
+                               F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *carry), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(totals, weights, share, most)
     placed = _numbered(rows, ["source"], [F.col("size").asc(), F.col("doc_id").asc_nulls_last()], "place").alias("p")
@@ -82,20 +83,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     upto = lambda place: F.floor(place * expected + F.lit(float(offset)))
     copies = (upto(F.col("p.place")) - upto(F.col("p.place") - 1)).cast("bigint")
     return joined.select("p.doc_id", "p.size", "p.source", "t.source_size", "t.target", copies.alias("copies"),
-                         (copies * F.col("p.size")).alias("taken"))
+                         (copies * F.col("p.size")).alias("taken"), *[F.col(f"p.{c}") for c in carry])
 
 
-def take(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as ``mixed`` says.
-
-    Rows meet their copies by id and source; rows that share both are matched one to one.
-    """
-    one, other, nth, row, copy = fresh(docs, "mixed_id", "mixed_source", "nth", "row", "copy")
-    ranked = Window.partitionBy("doc_id", "source").orderBy("size")
-    want = mixed.withColumn(nth, F.row_number().over(ranked)).select(
-        F.col("doc_id").alias(one), F.col("source").alias(other), nth, F.col("copies").alias(copy))
-    rows = docs.withColumn(row, F.row_number().over(Window.partitionBy(doc_id, source).orderBy(F.lit(1))))
-    joined = rows.join(want, F.col(doc_id).eqNullSafe(F.col(one)) & F.col(source).eqNullSafe(F.col(other))
-                       & (F.col(row) == F.col(nth)))
-    each = F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))
-    return joined.where(F.col(copy) > 0).select(*docs.columns, each.alias(copy)).drop(copy)
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as ``mix`` takes it."""
+    row, copies, nth = fresh(docs, "row", "copies", "nth")
+    # written once, so that a row's number is the same for its size and for its text
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    wanted = mix(rows, doc_id, text, source, carry=(row,), **how).where("copies > 0").select(row, F.col("copies").alias(copies))
+    each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(nth)
+    return rows.join(wanted, row).select(*docs.columns, each).drop(nth)

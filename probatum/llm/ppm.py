@@ -2,9 +2,10 @@
 
 The model is a trie of byte contexts up to a given order.  A symbol that was seen in its
 context costs its share of that context's counts; else an escape is paid and the context
-is shortened, where the symbols of the longer context no longer count (exclusion).  Each
-symbol gives half of its first count to the escape, whose share is thus half the number of
-distinct symbols over the count (escape method D).
+is shortened, where the symbols of the longer context no longer count (symbol exclusion).
+Each symbol gives a part of its first count to the escape, whose share is thus that part of
+the number of distinct symbols over the count.  A shorter context counts a symbol once for
+each context one byte longer that it was new in (update exclusion).
 
 Pretrained, the counts of all training documents are a table of (context, symbol) rows.
 Because a context's symbols are also symbols of every shorter one, each escape depends on a
@@ -27,12 +28,12 @@ from probatum.llm.packs import HELD_KEYS, assembled, by_pack, with_packs
 from probatum.llm.shared import id_remainder, written
 
 #: bytes of context; at most 6, so that context and symbol fit 7 bytes of a long
-ORDER = 4
+ORDER = 5
 #: bytes that UTF-8 never has: before a text, and the symbol that ends it
 START, END = 0xFF, 0xFE
 SYMBOLS = 255  # all bytes but START can be coded
 #: of each symbol's count, what the escape gets
-HALF = 0.5
+GIVEN = 0.25
 SMOOTH = 0.1
 
 
@@ -76,7 +77,7 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
     n, d = levels[0].agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, d = n or 0, d or 0
     left = -float(np.log10(max(1, SYMBOLS - d)))
-    seen = F.when(F.col("c") > 0, paid(F.col("c") - HALF, F.lit(n))).otherwise(F.lit(float(np.log10(HALF * d / n)) + left if d else left))
+    seen = F.when(F.col("c") > 0, paid(F.col("c") - GIVEN, F.lit(n))).otherwise(F.lit(float(np.log10(GIVEN * d / n)) + left if d else left))
     known = levels[0].select("gram", "c", F.lit(n).alias("n"), F.lit(d).alias("d"), F.lit(left).alias("r"), seen.alias("p"))
     for k in range(1, order + 1):
         shorter = known.select(F.col("gram").alias("suffix"), F.col("c").alias("c_low"), F.col("n").alias("n_low"),
@@ -88,10 +89,10 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
             F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("d"),
             (F.max("n_low") - F.sum(F.when(F.col("c") > 0, F.col("c_low")).otherwise(F.lit(0)))).alias("n_left"),
             (F.max("d_low") - F.count_if(F.col("c") > 0)).alias("d_left"))
-        escaped = F.when(F.col("c_low") > 0, paid(F.col("c_low") - HALF, F.col("n_left"))).otherwise(
-            F.when(F.col("d_left") > 0, paid(HALF * F.col("d_left"), F.col("n_left"))).otherwise(F.lit(0.0)) + F.col("r_low"))
-        p = (F.when(F.col("n") == 0, F.col("p_low")).when(F.col("c") > 0, paid(F.col("c") - HALF, F.col("n")))
-             .otherwise(paid(HALF * F.col("d"), F.col("n")) + F.col("r")))
+        escaped = F.when(F.col("c_low") > 0, paid(F.col("c_low") - GIVEN, F.col("n_left"))).otherwise(
+            F.when(F.col("d_left") > 0, paid(GIVEN * F.col("d_left"), F.col("n_left"))).otherwise(F.lit(0.0)) + F.col("r_low"))
+        p = (F.when(F.col("n") == 0, F.col("p_low")).when(F.col("c") > 0, paid(F.col("c") - GIVEN, F.col("n")))
+             .otherwise(paid(GIVEN * F.col("d"), F.col("n")) + F.col("r")))
         known = written(pairs.join(contexts, "context").withColumn("r", escaped).withColumn("p", p).select("gram", "c", "n", "d", "r", "p"), "lengths")
     return known.select("gram", "p")
 
@@ -263,14 +264,17 @@ def adaptive_length(text: str | None, order: int = ORDER) -> float:
                 continue
             whole = sum(live.values())
             if done := symbol in live:
-                total += float(np.log10((live[symbol] - HALF) / whole))
+                total += float(np.log10((live[symbol] - GIVEN) / whole))
                 break
-            total += float(np.log10(HALF * len(live) / whole))
+            total += float(np.log10(GIVEN * len(live) / whole))
             excluded |= live.keys()
         if not done:
             total -= float(np.log10(SYMBOLS - len(excluded)))
-        for k in range(order + 1):
-            trie.setdefault(data[at - k:at], Counter())[symbol] += 1
+        for k in range(order, -1, -1):
+            seen = trie.setdefault(data[at - k:at], Counter())
+            seen[symbol] += 1
+            if seen[symbol] > 1:  # not new here: shorter contexts know it from this one
+                break
     return total
 
 

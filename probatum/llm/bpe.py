@@ -57,6 +57,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 def decode_words(coded: DataFrame, path: str) -> DataFrame:
     """``word, packed, decoded`` from the rows of ``encode_words``: their pieces by join, put together in order.
 
+    ``decoded`` is empty where it is the word itself, as it is for texts of valid UTF-8.
+
     The vocabulary is a file of fixed size and is broadcast, so a word's rows stay in the
     task that made them; a word that came apart all the same is an error.
     """
@@ -68,7 +70,8 @@ def decode_words(coded: DataFrame, path: str) -> DataFrame:
             if word is not None:
                 if len(parts) != len(packed) // PACKED_BYTES:
                     raise ValueError(f"{len(parts)} of {len(packed) // PACKED_BYTES} pieces of {word!r}")
-                out.append((word, packed, b"".join(parts).decode(errors="replace")))
+                text = b"".join(parts).decode(errors="replace")
+                out.append((word, packed, "" if text == word else text))
 
         def listed() -> pa.RecordBatch:
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.string()))]
@@ -98,7 +101,7 @@ def _distinct_words(path: str):
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             for pack, words in held.items():
-                listed = list(words)
+                listed = sorted(words)  # neighbours share their beginnings, which the shuffle's compression uses
                 for at in range(0, len(listed), 100_000):
                     part = listed[at:at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array([pack] * len(part), pa.int64()), pa.array(part, pa.string())], names=["pack", "word"])
@@ -106,9 +109,8 @@ def _distinct_words(path: str):
 
         for pack, batch in by_pack(batches):
             words = held.setdefault(pack, set())
-            for text in batch.column("text").to_pylist():
-                if text:
-                    words.update(cut(text))
+            for text in batch.column("text"):
+                words.update(cut(text.as_py() or ""))
             if sum(map(len, held.values())) > HELD_KEYS:
                 yield from hand_on()
         yield from hand_on()
@@ -120,8 +122,7 @@ def _put_together(path: str):
         part = part if part is not None else pa.table({c: [] for c in ("word", "packed", "decoded")})
         words = part["word"].to_pylist()
         ids_of = dict(zip(words, part["packed"].to_pylist()))
-        # null where decoding gave the word itself
-        decoded = {w: d for w, d in zip(words, part["decoded"].to_pylist()) if d is not None}
+        decoded = {w: d for w, d in zip(words, part["decoded"].to_pylist()) if d}
         cut = byte_splitter(path).words
 
         def apply(docs: pa.Table) -> pa.RecordBatch:
@@ -150,6 +151,5 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     # words are never null and the count never 0: with both, the readers of that exchange are alike and Spark makes it once
     distinct = asked.groupBy("word").agg(F.count("pack").alias("n_packs")).where("n_packs > 0").select("word")
     table = decode_words(encode_words(distinct, path), path)
-    changed = F.when(F.col("decoded") != F.col("word"), F.col("decoded"))
-    pulled = asked.join(table, "word").select("pack", "word", "packed", changed.alias("decoded"))
+    pulled = asked.join(table, "word").select("pack", "word", "packed", "decoded")
     return assembled(packed, pulled, _put_together(path), f"doc_id {kind}, ids array<int>, decoded string")

@@ -196,10 +196,11 @@ def _scored(order: int, total: int, end_count: int, distinct: int):
     unseen = float(np.log10(SMOOTH))
 
     def use(part: pa.Table | None):  # never None: every text has an end
-        is_gram = part["gram"].is_valid().to_numpy()
-        value = part["value"].to_numpy()
-        table = CodeTable(part["gram"].drop_null().to_numpy(), value[is_gram])
-        words = dict(zip([w.encode() for w in part["word"].drop_null().to_pylist()], np.log10(value[~is_gram] + SMOOTH).tolist()))
+        grams, value = part["gram"].to_numpy(), part["value"].to_numpy()
+        is_gram = grams >= 0  # the others are words
+        table = CodeTable(grams[is_gram], value[is_gram])
+        named = part["word"].filter(pa.array(~is_gram)).to_pylist()
+        words = dict(zip([w.encode() for w in named], np.log10(value[~is_gram] + SMOOTH).tolist()))
 
         def apply(docs: pa.Table) -> pa.RecordBatch:
             texts = [text_bytes(t) for t in docs["text"].to_pylist()]
@@ -241,8 +242,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     in_words, distinct = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total, distinct = (in_words or 0) + end_count, distinct + (end_count > 0)
     grams = code_lengths(asked.where("word IS NULL").groupBy("gram").agg(F.sum("n").alias("n")), order)
-    pulled = (asked.where("word IS NULL").join(grams, "gram").select("pack", "gram", F.lit(None).cast("string").alias("word"), F.col("p").alias("value"))
-              .unionByName(asked.where("gram IS NULL").join(words, "word").select("pack", F.lit(None).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("value"))))
+    pulled = (asked.where("word IS NULL").join(grams, "gram").select("pack", "gram", F.lit("").alias("word"), F.col("p").alias("value"))
+              .unionByName(asked.where("gram IS NULL").join(words, "word").select("pack", F.lit(-1).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("value"))))
     return assembled(packed, pulled, _scored(order, total, end_count, distinct),
                      f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

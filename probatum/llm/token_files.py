@@ -40,14 +40,14 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordIds:
-    return WordIds(plain_splitter(path))
+    return WordIds(plain_splitter(path), WIDTH)
 
 
 def encoded(texts: list[str], path: str, end_id: int) -> Iterator[bytes]:
     """Serialized ids of each text with the end id behind it."""
     for a, b in slices([len(t) for t in texts], 4 << 20):
-        for ids in _encoder(path).ids(texts[a:b]):
-            yield np.array([*ids, end_id], dtype=WIDTH).tobytes()
+        for ids in _encoder(path).packed(texts[a:b]):
+            yield ids + np.array(end_id, dtype=WIDTH).tobytes()
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -200,5 +200,7 @@ class TokenFiles:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_DOCS)
 
-        return self.files.select("file", "start").repartition("file").mapInArrow(read, _DOC)
+        # rows are small and files are not: a number of partitions that is given is not made smaller by their size
+        n_files = max(1, self.files.count())
+        return self.files.select("file", "start").repartition(n_files, "file").mapInArrow(read, _DOC)
 

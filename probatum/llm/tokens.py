@@ -14,6 +14,8 @@ import unicodedata
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
+
 #: the cut of the byte-level vocabulary
 BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: the cut of the word vocabulary, after lower case
@@ -95,22 +97,30 @@ def plain_splitter(path: str) -> Splitter:
 
 
 class WordIds:
-    """Ids of whole texts; a word's ids are kept while the table has fewer than ``most`` words."""
+    """Ids of whole texts, packed; words that were met lately are encoded once.
+
+    Two tables hold up to ``most`` words together: a full one becomes the older, words of it
+    that are met again move over, and what the older one still holds at the next change goes.
+    """
 
-    def __init__(self, splitter: Splitter, most: int = 1_000_000):
-        self._splitter, self._most, self._known = splitter, most, {}
+    def __init__(self, splitter: Splitter, width: str, most: int = 1_200_000):
+        self._splitter, self._width, self._most = splitter, width, most
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as one run of bytes."""
         split = [self._splitter.words(t) for t in texts]
-        unseen = list(set(chain.from_iterable(split)) - self._known.keys())
-        if len(self._known) + len(unseen) > self._most:
-            self._known = {}
-            unseen = list(set(chain.from_iterable(split)))
+        if len(self._new) > self._most // 2:
+            self._old, self._new = self._new, {}
+        wanted = set(chain.from_iterable(split)) - self._new.keys()
+        self._new.update((w, self._old[w]) for w in wanted & self._old.keys())
+        unseen = list(wanted - self._old.keys())
         for at in range(0, len(unseen), 10_000):
             part = unseen[at:at + 10_000]
-            self._known.update(zip(part, self._splitter.encode(part)))
-        known = self._known
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+            self._new.update((w, np.array(ids, self._width).tobytes()) for w, ids in zip(part, self._splitter.encode(part)))
+        known = self._new.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:

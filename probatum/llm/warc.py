@@ -254,5 +254,7 @@ class Archive:
 
     def read(self) -> DataFrame:
         """All records, as ``RECORD``; payloads of revisits are null, their length and digest are those of the full payload."""
-        by_file = self.index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+        # entries are small and records are not: a number of partitions that is given is not made smaller by their size
+        n_files = max(1, self.index.select("file").distinct().count())
+        by_file = self.index.select("file", "offset", "length").repartition(n_files, "file").sortWithinPartitions("file", "offset")
         return by_file.mapInArrow(reader(self.folder), RECORD)

@@ -1,19 +1,18 @@
 """Byte-level BPE over a table of distinct words.
 
-Texts are cut into words in tasks; the distinct words of all texts are encoded once each,
-and their ids decoded once each through a join to the vocabulary's pieces.  Every pack of
-documents pulls the rows of its own words and puts ids and decoded text together by
-position.
+Texts are cut into words in tasks; the distinct words of all texts are encoded once each.
+Every pack of documents pulls the rows of its own words and puts its ids together by
+position.  Ids are decoded by meeting the table of the vocabulary's pieces, which has a
+fixed size and goes to every task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatum.llm.packs import HELD_KEYS, assembled, by_pack, with_packs
@@ -30,68 +29,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, piece)`` of the vocabulary, as many rows as it has ids."""
+def pieces(path: str) -> pa.Array:
+    """The bytes of each id, in order of id; gaps are empty."""
     library, letters = tokenizer(path), byte_letters()
-    special = {i: t.content for i, t in library.get_added_tokens_decoder().items()}
-    rows = [(i, special[i].encode() if i in special else bytes(letters[c] for c in piece))
-            for piece, i in library.get_vocab(with_added_tokens=True).items()]
-    return spark.createDataFrame(rows, "id int, piece binary")
+    special = {i: t.content.encode() for i, t in library.get_added_tokens_decoder().items()}
+    known = {i: bytes(letters[c] for c in piece) for piece, i in library.get_vocab(with_added_tokens=False).items()} | special
+    return pa.array([known.get(i, b"") for i in range(max(known) + 1)], pa.binary())
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``word, packed, pos, id`` for every id of every row of ``words(word)``; ``packed`` has all ids of the word."""
+    """``word, packed`` for ``words(word)``: each row is encoded once, ``packed`` has its ids."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("word")
-            coded = byte_splitter(path).encode(words.to_pylist())
-            sizes = [len(ids) for ids in coded]
-            at = pa.array(np.repeat(np.arange(len(coded)), sizes))
-            packed = pa.array([np.array(ids, PACKED).tobytes() for ids in coded], pa.binary())
-            pos = np.arange(sum(sizes)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
-            yield pa.RecordBatch.from_arrays([words.take(at), packed.take(at), pa.array(pos, pa.int32()), pa.array(list(chain.from_iterable(coded)), pa.int32())],
-                                             names=["word", "packed", "pos", "id"])
-    return words.mapInArrow(encode, "word string, packed binary, pos int, id int")
+            packed = [np.array(ids, PACKED).tobytes() for ids in byte_splitter(path).encode(words.to_pylist())]
+            yield pa.RecordBatch.from_arrays([words, pa.array(packed, pa.binary())], names=["word", "packed"])
+    return words.mapInArrow(encode, "word string, packed binary")
 
 
-def decode_words(coded: DataFrame, path: str) -> DataFrame:
-    """``word, packed, decoded`` from the rows of ``encode_words``: their pieces by join, put together in order.
-
-    ``decoded`` is empty where it is the word itself, as it is for texts of valid UTF-8.
-
-    The vocabulary is a file of fixed size and is broadcast, so a word's rows stay in the
-    task that made them; a word that came apart all the same is an error.
-    """
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, packed, parts = None, b"", []
-        out: list[tuple] = []
-
-        def closed() -> None:
-            if word is not None:
-                if len(parts) != len(packed) // PACKED_BYTES:
-                    raise ValueError(f"{len(parts)} of {len(packed) // PACKED_BYTES} pieces of {word!r}")
-                text = b"".join(parts).decode(errors="replace")
-                out.append((word, packed, "" if text == word else text))
-
-        def listed() -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "packed", "decoded"])
-
-        for batch in batches:
-            for w, p, piece in zip(*[batch.column(c).to_pylist() for c in ("word", "packed", "piece")]):
-                if w != word:
-                    closed()
-                    word, packed, parts = w, p, []
-                parts.append(piece)
-            if len(out) >= 10_000:
-                yield listed()
-                out = []
-        closed()
-        if out:
-            yield listed()
-
-    named = coded.join(F.broadcast(pieces(coded.sparkSession, path)), "id").sortWithinPartitions("word", "pos")
-    return named.select("word", "packed", "piece").mapInArrow(put_together, "word string, packed binary, decoded string")
+def joined_pieces(ids: np.ndarray, ends: np.ndarray, table: pa.Array) -> list[str]:
+    """The texts that runs of ids decode to: ids meet the table of pieces, and the pieces of a run stand one after the other."""
+    met = table.take(pa.array(ids))
+    offsets = np.frombuffer(met.buffers()[1], np.int32)[:len(ids) + 1]
+    data = met.buffers()[2].to_pybytes() if len(ids) else b""
+    cuts = offsets[ends]
+    return [data[a:b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _distinct_words(path: str):
@@ -118,20 +80,19 @@ def _distinct_words(path: str):
 
 
 def _put_together(path: str):
+    table = pieces(path)  # as large as the vocabulary's file; sent along with the tasks
+
     def use(part: pa.Table | None):
-        part = part if part is not None else pa.table({c: [] for c in ("word", "packed", "decoded")})
-        words = part["word"].to_pylist()
-        ids_of = dict(zip(words, part["packed"].to_pylist()))
-        decoded = {w: d for w, d in zip(words, part["decoded"].to_pylist()) if d}
+        ids_of = dict(zip(part["word"].to_pylist(), part["packed"].to_pylist())) if part is not None else {}
         cut = byte_splitter(path).words
 
         def apply(docs: pa.Table) -> pa.RecordBatch:
-            split = [cut(t or "") for t in docs["text"].to_pylist()]
-            packed = [b"".join(map(ids_of.__getitem__, words)) for words in split]
+            packed = [b"".join(map(ids_of.__getitem__, cut(t.as_py() or ""))) for t in docs["text"]]
             ends = np.cumsum([0, *(len(p) // PACKED_BYTES for p in packed)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), PACKED).astype(np.int32)))
-            texts = ["".join(decoded.get(w, w) for w in words) if decoded else "".join(words) for words in split]
-            return pa.RecordBatch.from_arrays([docs["doc_id"].combine_chunks(), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            ids = np.frombuffer(b"".join(packed), PACKED).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+            return pa.RecordBatch.from_arrays([docs["doc_id"].combine_chunks(), lists, pa.array(joined_pieces(ids, ends, table), pa.string())],
+                                              names=["doc_id", "ids", "decoded"])
         return apply
     return use
 
@@ -150,6 +111,5 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     asked = packed.select("pack", "text").mapInArrow(_distinct_words(path), "pack bigint, word string").where("word IS NOT NULL").repartition("word")
     # words are never null and the count never 0: with both, the readers of that exchange are alike and Spark makes it once
     distinct = asked.groupBy("word").agg(F.count("pack").alias("n_packs")).where("n_packs > 0").select("word")
-    table = decode_words(encode_words(distinct, path), path)
-    pulled = asked.join(table, "word").select("pack", "word", "packed", "decoded")
+    pulled = asked.join(encode_words(distinct, path), "word").select("pack", "word", "packed")
     return assembled(packed, pulled, _put_together(path), f"doc_id {kind}, ids array<int>, decoded string")

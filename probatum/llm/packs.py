@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: text bytes of a pack, about; of a compressed block of documents in it; keys held before a task hands them on
-PACK_BYTES, BLOCK_BYTES, HELD_KEYS = 16 << 20, 2 << 20, 1_000_000
+PACK_BYTES, BLOCK_BYTES, HELD_KEYS = 32 << 20, 2 << 20, 1_000_000
 
 
 BLOCK = "pack bigint, kind int, block binary"

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -82,18 +82,20 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(1, order + 1):
         shorter = known.select(F.col("gram").alias("suffix"), F.col("c").alias("c_low"), F.col("n").alias("n_low"),
                                F.col("d").alias("d_low"), F.col("r").alias("r_low"), F.col("p").alias("p_low"))
-        pairs = written(levels[k].withColumn("suffix", _suffix("gram", k)).join(shorter, "suffix")
-                        .withColumn("context", F.shiftright("gram", 8)), "pairs")
-        # a context has at most 255 symbols; what the context's symbols hold in the shorter one is excluded there
-        contexts = pairs.groupBy("context").agg(
-            F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("d"),
-            (F.max("n_low") - F.sum(F.when(F.col("c") > 0, F.col("c_low")).otherwise(F.lit(0)))).alias("n_left"),
-            (F.max("d_low") - F.count_if(F.col("c") > 0)).alias("d_left"))
+        pairs = (levels[k].withColumn("suffix", _suffix("gram", k)).join(shorter, "suffix")
+                 .withColumn("context", F.shiftright("gram", 8)))
+        # a context has at most 255 symbols; what they hold in the shorter context is excluded there
+        here = Window.partitionBy("context")
+        is_seen = F.col("c") > 0
+        pairs = (pairs.withColumn("n", F.sum("c").over(here)).withColumn("d", F.count_if(is_seen).over(here))
+                 .withColumn("n_left", F.max("n_low").over(here) - F.sum(F.when(is_seen, F.col("c_low")).otherwise(F.lit(0))).over(here))
+                 .withColumn("d_left", F.max("d_low").over(here) - F.col("d")))
         escaped = F.when(F.col("c_low") > 0, paid(F.col("c_low") - GIVEN, F.col("n_left"))).otherwise(
             F.when(F.col("d_left") > 0, paid(GIVEN * F.col("d_left"), F.col("n_left"))).otherwise(F.lit(0.0)) + F.col("r_low"))
         p = (F.when(F.col("n") == 0, F.col("p_low")).when(F.col("c") > 0, paid(F.col("c") - GIVEN, F.col("n")))
              .otherwise(paid(GIVEN * F.col("d"), F.col("n")) + F.col("r")))
-        known = written(pairs.join(contexts, "context").withColumn("r", escaped).withColumn("p", p).select("gram", "c", "n", "d", "r", "p"), "lengths")
+        told = pairs.withColumn("r", escaped).withColumn("p", p)
+        known = written(told.select("gram", "p") if k == order else told.select("gram", "c", "n", "d", "r", "p"), "lengths")
     return known.select("gram", "p")
 
 
@@ -124,7 +126,7 @@ def _counted(order: int):
             words.clear()
 
         for pack, batch in by_pack(batches):
-            texts = [text_bytes(t) for t in batch.column("text").to_pylist()]
+            texts = [text_bytes(t.as_py()) for t in batch.column("text")]
             learns = batch.column("learns").to_pylist()
             counter = words.setdefault(pack, Counter())
             found = grams.setdefault(pack, [])
@@ -144,7 +146,7 @@ def _counted(order: int):
     return run
 
 
-def _parts(texts: list[bytes], most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     start, total = 0, 0
     for i, t in enumerate(texts):
         total += len(t)
@@ -203,7 +205,7 @@ def _scored(order: int, total: int, end_count: int, distinct: int):
         words = dict(zip([w.encode() for w in named], np.log10(value[~is_gram] + SMOOTH).tolist()))
 
         def apply(docs: pa.Table) -> pa.RecordBatch:
-            texts = [text_bytes(t) for t in docs["text"].to_pylist()]
+            texts = [text_bytes(t.as_py()) for t in docs["text"]]
             lengths, starts = codes(texts, order)
             score = np.add.reduceat(table[lengths], starts)
             n_tokens, n_known, base = [], [], []

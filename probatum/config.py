@@ -21,12 +21,19 @@ class Settings:
     severities: dict = field(default_factory=lambda: dict(fixed.SEVERITIES))
     stale_days: int = 90
     stale_days_full: int = 60
+    #: above 0.45: at that score or less every pair of names would be a candidate
     alias_threshold: float = 0.72
+    #: a country that the vocabulary does not have
+    home_country: str | None = None
     allowed_self_loops: tuple = tuple(fixed.ALLOWED_SELF_LOOPS)
     quantities: tuple = tuple(fixed.QUANTITIES)
     known_distinct: tuple = tuple(fixed.KNOWN_DISTINCT)
     never_merge: tuple = tuple(fixed.NEVER_MERGE)
 
+    def __post_init__(self):
+        if self.alias_threshold <= 0.45:
+            raise ValueError("alias_threshold must be above 0.45")
+
     def severity(self, rule: str, default: str = "error") -> str:
         return self.severities.get(rule, default)
 

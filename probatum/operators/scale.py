@@ -63,30 +63,37 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
 
 
 def ordinal_within(df: DataFrame, keys: list[str], order: str, name: str = "ordinal",
-                   ties: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+                   ties: tuple[str, ...] = ()) -> DataFrame:
     """``row_number`` per key without putting a whole key in one task.
 
-    The numeric ``order`` column is cut into equal ranges.  Rows are numbered inside
-    (key, range), and each range starts after the rows that the earlier ones hold.
+    Rows are dealt out by ranges of (keys, order, ties) whose bounds Spark samples, so that
+    ranges hold like numbers of rows however values and keys are spread.  They are numbered
+    inside (range, key), and each range starts after the rows that the earlier ones hold.
+    Nulls come first, as in a window.
     """
-    span = df.agg(F.struct(F.min(order).cast("double").alias("lo"),
-                           F.max(order).cast("double").alias("hi"))).scalar()
-    cut = df.withColumn("_range", F.width_bucket(
-        F.col(order).cast("double"), span["lo"], span["hi"] + 1, F.lit(buckets)))
-    sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut_lineage(df.repartitionByRange(*[F.col(c) for c in (*keys, order, *ties)])
+                         .withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = (Window.partitionBy(*keys).orderBy("_range")
                .rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    local = Window.partitionBy(*keys, "_range").orderBy(order, *ties)
-    numbered = cut.withColumn("_local", F.row_number().over(local))
+    local = Window.partitionBy("_range", *keys).orderBy(order, *ties)
+    numbered = ranged.withColumn("_local", F.row_number().over(local))
     # null-safe, so that a null key keeps its rows
     joined = numbered.alias("n").join(
         starts.alias("s"),
-        _all([F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_range"]]), "inner")
+        _all([F.col("n._range") == F.col("s._range"), *[F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]]), "inner")
     return joined.select(*[F.col(f"n.{c}") for c in df.columns],
                          (F.col("s._start") + F.col("n._local")).alias(name))
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Every row with its place in one order over the whole frame, from 1."""
+    columns = [f"_order{i}" for i in range(len(order))]
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(order, columns)])
+    return ordinal_within(keyed, [], columns[0], name, tuple(columns[1:])).drop(*columns)
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -95,7 +102,7 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def list_pages(df: DataFrame, keys: list[str], order: str, value: str | Column,
-               ties: tuple[str, ...] = (), page_size: int = 10_000, buckets: int = 64,
+               ties: tuple[str, ...] = (), page_size: int = 10_000,
                name: str = "items") -> DataFrame:
     """Ordered lists per key in pages: ``(keys…, page, items)``, page 0 first.
 
@@ -103,7 +110,7 @@ def list_pages(df: DataFrame, keys: list[str], order: str, value: str | Column,
     further pages, so no list grows without bound and no member is left out.
     """
     value = F.col(value) if isinstance(value, str) else value
-    numbered = ordinal_within(df.withColumn("_value", value), keys, order, "_ordinal", ties, buckets)
+    numbered = ordinal_within(df.withColumn("_value", value), keys, order, "_ordinal", ties)
     numbered = numbered.withColumn("page", F.floor((F.col("_ordinal") - 1) / page_size).cast("bigint"))
     entries = F.sort_array(F.collect_list(F.struct("_ordinal", "_value")))
     return numbered.groupBy(*keys, "page").agg(

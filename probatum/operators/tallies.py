@@ -116,25 +116,25 @@ def facet_values(df: DataFrame, columns: list[str], default: str = "Not recorded
     return cells.groupBy("cell.facet", "cell.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ladder_sorted(df: DataFrame, column: str, ladder: list[str], *then: str | Column,
-                  unknown_first: bool = False) -> DataFrame:
-    """Order by a vocabulary's order, then by further columns."""
+def ladder_order(column: str, ladder: list[str], *then: str | Column, unknown_first: bool = False) -> list[Column]:
+    """The order by a vocabulary's order, then by further columns."""
     place = F.coalesce(ladder_rank(F.col(column), ladder), F.lit(-1 if unknown_first else len(ladder)))
-    return df.orderBy(place, *then)
+    return [place, *[F.col(c) if isinstance(c, str) else c for c in then]]
 
 
-def people_sorted(people: DataFrame) -> DataFrame:
-    place = F.coalesce(ladder_rank(F.col("dossierStatus"), fixed.DOSSIER_STATUS), F.lit(-1))
-    return people.orderBy(place, F.coalesce("_derivedBornYear", F.lit(9999)), "name", "slug")
+def people_order() -> list[Column]:
+    """The order of the people list; without a known year of birth they come after their status's others."""
+    return ladder_order("dossierStatus", fixed.DOSSIER_STATUS, F.coalesce("_derivedBornYear", F.lit(9999)), "name", "slug", unknown_first=True)
 
 
-def index_figures(disputes: DataFrame, archives: DataFrame, people: DataFrame, claims: DataFrame) -> DataFrame:
+def index_figures(disputes: DataFrame, archives: DataFrame, people: DataFrame, claims: DataFrame,
+                  home_country: str | None = None) -> DataFrame:
     """The headline counts of the front page, one row."""
     from probatum.functions.clean import has_verbatim
     one = lambda df, **cells: df.agg(*[F.count_if(c).alias(n) for n, c in cells.items()])
     decisive = F.col("priority") == "1 - decisive"
     parts = [one(disputes, resolved=F.col("status") == "Resolved", live=~F.col("status").eqNullSafe(F.lit("Resolved"))),
-             one(archives, decisive=decisive, decisiveInMorocco=decisive & (F.col("country") == "Morocco"),
+             one(archives, decisive=decisive, decisiveAtHome=decisive & F.col("country").eqNullSafe(F.lit(home_country)),
                  unverified=F.col("verification") == fixed.NOT_YET_VERIFIED, withPlan=F.col("notYetSearched").isNotNull()),
              one(people, fullDossiers=F.col("dossierStatus") == "Full dossier"),
              one(claims, consulted=has_verbatim(F.col("whatTheDocumentSays")))]
@@ -143,9 +143,9 @@ def index_figures(disputes: DataFrame, archives: DataFrame, people: DataFrame, c
     return reduce(DataFrame.unionByName, cells)
 
 
-def moroccan_authored(sources: DataFrame, above: int = 0) -> DataFrame:
-    """Arabic sources of a Moroccan-authored tier; ``drifted`` once more than ``above`` exist."""
-    found = sources.where(F.array_contains("language", "Arabic") & F.col("tier").isin(fixed.MOROCCAN_AUTHORED_TIERS))
+def home_authored(sources: DataFrame, language: str, tiers: list[str], above: int = 0) -> DataFrame:
+    """Sources in a language and of the tiers written at home; ``drifted`` once more than ``above`` exist."""
+    found = sources.where(F.array_contains("language", language) & F.col("tier").isin(list(tiers)))
     return found.withColumn("drifted", found.agg(F.count(F.lit(1))).scalar() > above)
 
 

@@ -110,9 +110,8 @@ def build(raw: dict[str, DataFrame], documents: DataFrame | None = None, strict:
             edges = graph.person_edges(tables["relationships"]).unionByName(edges)
         groups = None
         if "dispute-claims" in tables:
-            members = tables["dispute-claims"].select("dispute", "claim", F.struct("added", "pos").alias("pos"))
-            pairs, groups = graph.contradictions(members)
-            edges = edges.unionByName(pairs, allowMissingColumns=True)
+            members = tables["dispute-claims"].select("dispute", "claim")
+            groups = graph.contradictions(members)
             tables["graph-groups"] = groups
         tables["graph-nodes"], tables["graph-edges"] = graph.degree(nodes, edges, groups), edges
     if "events" in tables:

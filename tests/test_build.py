@@ -78,13 +78,15 @@ def test_slug_suffixes(spark):
     assert plain[3] == "a-2"
 
 
-def test_large_disputes_stay_groups_with_exact_degrees(spark):
+def test_disputes_of_any_size_are_groups_with_exact_degrees(spark):
     members = spark.range(30).select(F.lit("d").alias("dispute"), F.col("id").cast("string").alias("claim"), F.col("id").alias("pos"))
     nodes = members.select(F.concat(F.lit("claim:"), "claim").alias("id"))
-    for size in (100, 10):
-        pairs, groups = graph.contradictions(members, pair_members=size)
-        assert {r.degree for r in graph.degree(nodes, pairs, groups).collect()} == {29}
-        assert pairs.count() == (435 if size == 100 else 0) and groups.count() == (0 if size == 100 else 30)
+    groups = graph.contradictions(members)
+    none = spark.createDataFrame([], "source string, target string, strength string")
+    with_degrees = graph.degree(nodes, none, groups)
+    assert {r.degree for r in with_degrees.collect()} == {29} and groups.count() == 30
+    live, _, kept = graph.subgraph(with_degrees.where("id < 'claim:2'"), none, groups=groups)
+    assert live.count() == 12 and {r.members for r in kept.collect()} == {12}
 
 
 def test_tallies_are_zero_filled(spark):
@@ -136,7 +138,7 @@ def test_reports(spark):
     heads = [l for l in lines if l.startswith("#")]
     assert heads == ["# Integrity report — 2026-08-16", "## Suspicious changes since last run", "## Errors", "## Warnings", "## Notes", "## Not run",
                      "## Corpus health", "## Change volume"]
-    assert '- **ERROR** `R01` dossierStatus = "Almost done" is not a recognised value\n  - `people / test-person / dossierStatus`' in text
+    assert '- **ERROR** `R01` dossierStatus = "Almost done" is outside the vocabulary\n  - `people / test-person / dossierStatus`' in text
     assert "- **R12** — needs a previous snapshot" in lines and "_None._" in lines and "%" not in text
     assert "- Added: 1" in lines and "- Removed: 1" in lines and "- `people` Test Person" in lines
     out = json_lines(result, numbers, "2026-08-16", "test", compare(snap, after)).orderBy("part").collect()

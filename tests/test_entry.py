@@ -8,11 +8,11 @@ from workload import ORACLE, QUERIES
 def test_contract(spark):
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries) and len(QUERIES) > 100
-    assert set(QUERIES) - set(ORACLE) == {"duplicate_findings"}
+    assert set(QUERIES) - set(ORACLE) == set()
     assert entry.entry(spark).count() > 0
 
 
 def test_no_query_limits_its_tables():
-    """A sample, a modulo subset of ids or a prefix of a text would only look whole."""
+    """A sample or a row cap would only look whole."""
     for path in (Path(__file__).parent.parent / "workload").glob("*.py"):
-        assert not re.search(r"\.sample\(|\.limit\((?!100|60)", path.read_text()), path
+        assert not re.search(r"\.sample\(|\.limit\(", path.read_text()), path

@@ -29,7 +29,7 @@ def test_ordinals_of_a_hot_key(spark):
     data = [("hot" if i % 3 else f"k{i % 7}", i * 3) for i in range(500)] + [(None, 4), (None, 5)]
     random.Random(1).shuffle(data)
     df = spark.createDataFrame(data, "k string, ord long")
-    got = {(r.k, r.ord): r.ordinal for r in ordinal_within(df, ["k"], "ord", buckets=8).collect()}
+    got = {(r.k, r.ord): r.ordinal for r in ordinal_within(df, ["k"], "ord").collect()}
     want = {}
     for k in {d[0] for d in data}:
         for n, (_, o) in enumerate(sorted(d for d in data if d[0] == k), start=1):
@@ -44,7 +44,7 @@ def test_ordinals_of_one_row(spark):
 
 def test_list_pages_keep_every_member_in_order(spark):
     df = spark.range(25).select(F.lit("a").alias("k"), "id", F.col("id").cast("string").alias("v"))
-    pages = list_pages(df, ["k"], "id", "v", page_size=10, buckets=4).orderBy("page").collect()
+    pages = list_pages(df, ["k"], "id", "v", page_size=10).orderBy("page").collect()
     assert [len(p["items"]) for p in pages] == [10, 10, 5]
     assert [v for p in pages for v in p["items"]] == [str(i) for i in range(25)]
 

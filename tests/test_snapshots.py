@@ -28,7 +28,7 @@ def test_kinds_of_change(spark):
 @pytest.mark.parametrize("was,now,severity,message", [
     (dict(assessment="Decisive"), dict(assessment="Minor"), "warn", 'Assessment revised on "Test Person"'),
     (dict(assessment="Decisive"), dict(assessment=None), "error", 'Assessment DELETED from "Test Person"'),
-    (dict(contestedPoints="x"), dict(contestedPoints=None), "error", 'Contested points emptied on "Test Person"'),
+    (dict(contestedPoints="x"), dict(contestedPoints=None), "error", 'Contested points gone from "Test Person"'),
     (dict(oneLine="about 300 men"), dict(oneLine="300 men"), "warn", 'Hedge "about" removed from beside a number on "Test Person"'),
 ])
 def test_suspicious_edits(spark, was, now, severity, message):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from probatum import fixed
 from probatum.operators import claims as C
 from probatum.operators import contain, graph, resolve
-from probatum.operators.scale import list_pages, ordinal_within
+from probatum.operators.scale import list_pages, placed
 from workload import sqltext as S
 from workload.records import quoted
 from workload.registry import query
@@ -267,12 +267,11 @@ def evidence_subgraph(t):
 
 
 @query("claim_contradictions", """
-    WITH m AS (SELECT DISTINCT dispute, slug, pos FROM rec_claims)
-    SELECT 'claim:' || a.slug AS source, 'claim:' || b.slug AS target, a.dispute AS via FROM m a JOIN m b ON a.dispute = b.dispute AND a.pos < b.pos""", ("claims",))
+    WITH m AS (SELECT DISTINCT dispute, slug FROM rec_claims)
+    SELECT 'claim:' || slug AS source, 'dispute:' || dispute AS target, count(*) OVER (PARTITION BY dispute) AS members FROM m QUALIFY members > 1""", ("claims",))
 def claim_contradictions(t):
-    members = t.claims.select("dispute", F.col("slug").alias("claim"), "pos").distinct()
-    pairs, _ = graph.contradictions(members)
-    return pairs.select("source", "target", "via")
+    members = t.claims.select("dispute", F.col("slug").alias("claim")).distinct()
+    return graph.contradictions(members).select("source", "target", "members")
 
 
 @query("contradiction_degrees", """
@@ -280,19 +279,16 @@ def claim_contradictions(t):
     SELECT 'claim:' || slug AS id, CAST(sum(n - 1) AS BIGINT) AS degree FROM m JOIN n USING (archive) GROUP BY slug""", ("claims",))
 def contradiction_degrees(t):
     """Groups of hundreds of claims: degrees without their pairs."""
-    members = t.claims.select(F.col("archive").alias("dispute"), F.col("slug").alias("claim"), "pos").dropDuplicates(["dispute", "claim"])
-    pairs, groups = graph.contradictions(members)
+    members = t.claims.select(F.col("archive").alias("dispute"), F.col("slug").alias("claim")).distinct()
+    groups = graph.contradictions(members)
     nodes = members.select(F.concat(F.lit("claim:"), "claim").alias("id")).distinct()
-    return graph.degree(nodes, pairs, groups)
+    return graph.degree(nodes, groups.where("false").select("source", "target"), groups)
 
 
 @query("event_timeline", """
     SELECT slug, start, row_number() OVER (ORDER BY coalesce(start, ''), slug) AS place FROM rec_incidents""", ("incidents",))
 def event_timeline(t):
-    line = graph.timeline(t.incidents.withColumn("end", F.lit(None).cast("string"))).select("slug", "start")
-    day = F.coalesce(F.unix_date(F.try_to_date(F.col("start"))), F.lit(0))
-    return ordinal_within(line.withColumn("day", day).withColumn("all", F.lit(1)), ["all"], "day", "place",
-                          ties=("slug",)).select("slug", "start", "place")
+    return placed(t.incidents, graph.timeline_order()).select("slug", "start", "place")
 
 
 @query("span_disputes", """

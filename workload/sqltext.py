@@ -65,6 +65,22 @@ def fold_ordered(x: str, folded: str) -> str:
             f"regexp_split_to_array({folded}, '[^a-z0-9]+'), lambda t: t <> '' AND NOT list_contains({PARTICLES}, t)), ' ') END")
 
 
+def jaro_winkler(a: str, b: str) -> str:
+    """Jaro-Winkler with half transpositions counted as halves, from lists of matched places."""
+    reach = f"greatest(0, greatest(length({a}), length({b})) // 2 - 1)"
+    places = (f"list_reduce(range(1, length({a}) + 1), lambda found, i: list_append(found, coalesce(list_min(list_filter("
+              f"range(greatest(1, i - {reach}), least(length({b}), i + {reach}) + 1), "
+              f"lambda j: substr({b}, j, 1) = substr({a}, i, 1) AND NOT list_contains(found, j))), 0)), CAST([] AS BIGINT[]))")
+    letters = (f"list_transform(list_filter(range(1, length({a}) + 1), lambda i: p[i] > 0), lambda i: substr({a}, i, 1))",
+               f"list_transform(list_sort(list_filter(p, lambda j: j > 0)), lambda j: substr({b}, j, 1))")
+    matched = f"struct_pack(m := len(list_filter(p, lambda j: j > 0)), x := {letters[0]}, y := {letters[1]})"
+    swapped = "len(list_filter(range(1, q.m + 1), lambda k: q.x[k] <> q.y[k]))"
+    jaro = f"(q.m / length({a}) + q.m / length({b}) + (q.m - {swapped} / 2) / q.m) / 3"
+    prefix = f"len(list_filter(range(1, 5), lambda k: k <= least(length({a}), length({b})) AND left({a}, k) = left({b}, k)))"
+    score = f"CASE WHEN q.m = 0 THEN 0 ELSE list_transform([{jaro}], lambda z: CASE WHEN z < 0.7 THEN z ELSE z + {prefix} * 0.1 * (1 - z) END)[1] END"
+    return (f"CASE WHEN {a} = {b} THEN 1 ELSE list_transform(list_transform([{places}], lambda p: {matched}), lambda q: {score})[1] END")
+
+
 def slugify(folded: str) -> str:
     x = f"regexp_replace({folded}, '[·/—–_,:;.''\"()\\[\\]{{}}]', '-', 'g')"
     x = f"regexp_replace({x}, '[^a-z0-9\\x{{0600}}-\\x{{06FF}}-]+', '-', 'g')"

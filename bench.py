@@ -14,13 +14,13 @@ HEADLINE = ["vocabulary_report", "rule_vocabulary", "rule_references", "rule_bar
             "rule_relations", "rule_range_collapse", "prose_claims", "match_keys", "unique_slugs", "resolved_relations",
             "graph_degrees", "claim_contradictions", "back_link_pages", "transcripts", "page_texts", "changed_orders",
             "suspicious_people", "similar_names", "resolved_names", "search_results", "corpus_health", "facet_values",
-            "publish_bare_figures"]
+            "publish_bare_figures", "evidence_subgraph", "event_timeline", "change_volume", "duplicate_findings", "held_sources"]
 
 
 def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = os.environ["BENCH_QUERIES"].split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
     spark = session(f"local[{cpus}]", "bench", spark_ui_enabled="false", spark_sql_shuffle_partitions=cpus,
                     spark_driver_memory="16g")

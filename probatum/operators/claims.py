@@ -82,3 +82,23 @@ def status_counts(claims: DataFrame, by_host: bool = False) -> DataFrame:
     status = F.coalesce("status", F.lit("Ungraded")).alias("status")
     return claims.groupBy(*keys, status).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("withheld").alias("withheld"))
+
+
+WITHHELD, UNGRADED = "withheld", "Ungraded"
+
+
+def filter_claims(claims: DataFrame, status: str | None = None, phase: str | None = None, host: str | None = None) -> DataFrame:
+    """Claims of a status, a phase and a host kind; an empty or missing choice lets all pass.
+
+    Next to the statuses, ``Ungraded`` stands for claims without one and ``withheld`` for
+    withheld claims of any status.
+    """
+    out = claims
+    if status == WITHHELD:
+        out = out.where("withheld")
+    elif status:
+        out = out.where(F.coalesce("status", F.lit(UNGRADED)) == status)
+    for column, wanted in (("phase", phase), ("hostKind", host)):
+        if wanted:
+            out = out.where(F.col(column) == wanted)
+    return out

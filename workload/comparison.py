@@ -304,6 +304,13 @@ def disputes_by_status(t):
     return A.by_vocabulary_order(t.disputes, "status", ["Settleable - request identified", "Resolved"], "Status not recorded")
 
 
+@query("events_by_phase", f"""
+    SELECT coalesce(list_position([{S.listed(fixed.PHASES)}], phase) - 1, {len(fixed.PHASES)}) AS place, CASE WHEN phase IN ({S.listed(fixed.PHASES)}) THEN phase ELSE 'Other' END AS value, count(*) AS n
+    FROM rec_incidents GROUP BY ALL""", ("incidents",))
+def events_by_phase(t):
+    return A.by_vocabulary_order(t.incidents, "phase", fixed.PHASES, "Other").select(F.col("place").cast("bigint").alias("place"), "value", "n")
+
+
 @query("claims_by_confidence", """
     SELECT coalesce(confidence, 'Not recorded') AS confidence, count(*) AS n FROM rec_claims GROUP BY 1""", ("claims",))
 def claims_by_confidence(t):

@@ -1,5 +1,7 @@
 """Claims in prose, relations between records, and the graph."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from probatum import fixed
@@ -55,6 +57,25 @@ def claims_with_hosts(t):
     return C.with_host(C.extract_claims(t.bodies), hosts, people).select("id", "url", "host", "phase")
 
 
+def _hosted(t):
+    people = t.people.withColumn("phase", F.split("phase", "[|]"))
+    hosts = people.select("slug", F.col("name").alias("title"), F.lit("person").alias("kind"), F.concat(F.lit("/people/"), "slug").alias("url"))
+    return C.with_host(C.extract_claims(t.bodies), hosts, people)
+
+
+@query("claim_filter", f"""
+    WITH {PROSE_CLAIMS},
+    hosted AS (SELECT slug || '-' || i AS id, coalesce(status, 'Ungraded') AS status, withheld, p.phase AS phase, CASE WHEN p.slug IS NOT NULL THEN 'person' END AS kind FROM c LEFT JOIN rec_people p USING (slug))
+    SELECT 'withheld' AS chosen, id FROM hosted WHERE withheld UNION ALL SELECT 'ungraded', id FROM hosted WHERE status = 'Ungraded'
+    UNION ALL SELECT 'disputed in a phase', id FROM hosted WHERE status = 'Disputed' AND phase = 'IV 1912-1921' AND kind = 'person' UNION ALL SELECT 'all', id FROM hosted""", ("bodies", "people"))
+def claim_filter(t):
+    hosted = _hosted(t)
+    chosen = {"withheld": dict(status=C.WITHHELD), "ungraded": dict(status=C.UNGRADED),
+              "disputed in a phase": dict(status="Disputed", phase="IV 1912-1921", host="person"), "all": dict(status="")}
+    parts = [C.filter_claims(hosted, **how).select(F.lit(name).alias("chosen"), "id") for name, how in chosen.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("claim_status_counts", f"""
     WITH {PROSE_CLAIMS}
     SELECT coalesce(status, 'Ungraded') AS status, count(*) AS n, count(*) FILTER (withheld) AS withheld FROM c GROUP BY 1""", ("bodies",))

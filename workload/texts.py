@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from probatum import fixed
 from probatum.functions import names as N
 from probatum.functions import text as T
-from probatum.operators import tallies
+from probatum.operators import rules, tallies
 from probatum.operators.claims import resolve_lead_in
 from probatum.sources.documents import assemble
 from workload import sqltext as S
@@ -127,12 +127,22 @@ def written_ranges(t):
 @query("filing_terms", f"""
     WITH d(term, language, issuer) AS (VALUES {', '.join('(' + S.listed(r) + ')' for r in fixed.TERM_DICTIONARY)}),
          w AS (SELECT slug, trim(regexp_extract(lower(body), '\\b(dissident|rebelle|bandit|cheval)\\b', 1)) AS asked FROM rec_bodies)
-    SELECT slug, asked, language, issuer FROM w LEFT JOIN d ON lower(d.term) = asked WHERE asked <> ''""", ("bodies",))
+    SELECT slug, asked, language, issuer FROM w JOIN d ON lower(d.term) = asked WHERE asked <> ''""", ("bodies",))
 def filing_terms(t):
-    table = t.spark.createDataFrame(fixed.TERM_DICTIONARY, "term string, language string, issuer string")
-    asked = F.regexp_extract(F.lower("body"), T.java_pattern(r"\b(dissident|rebelle|bandit|cheval)\b"), 1)
-    words = t.bodies.select("slug", asked.alias("asked")).where("asked <> ''")
-    return words.join(F.broadcast(table), F.lower("term") == F.col("asked"), "left").select("slug", "asked", "language", "issuer")
+    return rules.filed_terms(_asked_terms(t), fixed.TERM_DICTIONARY)[0].select("slug", "asked", "language", "issuer")
+
+
+def _asked_terms(t, words=r"\b(dissident|rebelle|bandit|cheval)\b"):
+    asked = F.regexp_extract(F.lower("body"), T.java_pattern(words), 1)
+    return t.bodies.select("slug", asked.alias("asked")).where("asked <> ''")
+
+
+@query("unknown_terms", f"""
+    WITH w AS (SELECT slug, regexp_extract(lower(body), '\\b(dissident|rebelle|bandit|the)\\b', 1) AS asked FROM rec_bodies)
+    SELECT DISTINCT 'unknown-term' AS rule, 'error' AS severity, slug, 'The dictionary lacks "' || asked || '"' AS message FROM w
+    WHERE asked <> '' AND asked NOT IN ({', '.join("lower('" + t[0] + "')" for t in fixed.TERM_DICTIONARY)})""", ("bodies",))
+def unknown_terms(t):
+    return rules.filed_terms(_asked_terms(t, r"\b(dissident|rebelle|bandit|the)\b"), fixed.TERM_DICTIONARY)[1].select("rule", "severity", "slug", "message")
 
 
 @query("contents_lists", """

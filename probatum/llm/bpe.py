@@ -111,5 +111,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     asked = packed.select("pack", "text").mapInArrow(_distinct_words(path), "pack bigint, word string").where("word IS NOT NULL").repartition("word")
     # words are never null and the count never 0: with both, the readers of that exchange are alike and Spark makes it once
     distinct = asked.groupBy("word").agg(F.count("pack").alias("n_packs")).where("n_packs > 0").select("word")
+    # in order, so that the rows on their way back take less
+    distinct = distinct.sortWithinPartitions("word")
     pulled = asked.join(encode_words(distinct, path), "word").select("pack", "word", "packed")
     return assembled(packed, pulled, _put_together(path), f"doc_id {kind}, ids array<int>, decoded string")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: text bytes of a pack, about; of a compressed block of documents in it; keys held before a task hands them on
-PACK_BYTES, BLOCK_BYTES, HELD_KEYS = 32 << 20, 2 << 20, 1_000_000
+PACK_BYTES, BLOCK_BYTES, HELD_KEYS = 32 << 20, 4 << 20, 1_000_000
 
 
 BLOCK = "pack bigint, kind int, block binary"
@@ -69,7 +69,7 @@ def squeezed(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level=9).compress(sink.getvalue())
 
 
 def unsqueezed(block: bytes) -> pa.Table:

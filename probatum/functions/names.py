@@ -141,7 +141,7 @@ def _variants(c: Column) -> Column:
 def split_aliases(field: Column) -> Column:
     """Spelling variants of an alias field, notes and tradition tags removed."""
     note = java_pattern(fixed.TRAILING_NOTE, ignore_case=True)
-    tag = java_pattern("^" + fixed.TRADITION_TAG[:-1] + r"|birth name)\s*:\s*", ignore_case=True)
+    tag = java_pattern(fixed.LEADING_TAG, ignore_case=True)
 
     def members(chunk):
         rest = F.regexp_replace(F.regexp_replace(chunk, note, ""), tag, "")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from probatum.config import Settings
 from probatum.operators.rules import ALL_RULES, FINDING, Rule
+from probatum.operators.scale import cut_lineage
 from probatum.plans.build import typed_collections
 from probatum.operators import resolve
 
@@ -51,18 +52,19 @@ def snapshot_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def _broken(spark, rule: Rule, error: Exception) -> DataFrame:
-    text = str(error).split("\n")[0][:500]
-    return spark.createDataFrame([(rule.id, "error", None, None, None, f"Rule {rule.id} ({rule.title}) threw: {text}",
-                                   "a fault of the rule, not of the records")], FINDING)
+    text = str(error)
+    return spark.createDataFrame([(rule.id, "error", None, None, None, f"Rule {rule.id} ({rule.title}) failed: {text.splitlines()[0] if text else type(error).__name__}",
+                                   f"a fault of the rule, not of the records: {text}")], FINDING)
 
 
 def run_rules(snapshot, settings: Settings, previous=None, only: list[str] | None = None, rules=ALL_RULES,
-              staging: str | None = None) -> Result:
+              staging: str | None = None, plan_only: bool = False) -> Result:
     """Findings of all selected rules.
 
-    A rule that cannot be planned becomes an error finding.  With ``staging``, a shared
-    folder, each rule is also executed on its own and its findings are read back from
-    there, so that a rule failing at run time cannot take the others down either.
+    Each rule is executed by itself, into the session's checkpoint folder or into the shared
+    folder ``staging``, so that a rule that fails takes no other down: its fault becomes an
+    error finding.  With ``plan_only`` nothing runs yet, and only rules that cannot be
+    planned are caught.
     """
     spark = snapshot["people"].sparkSession
     parts, skipped = [], []
@@ -77,6 +79,8 @@ def run_rules(snapshot, settings: Settings, previous=None, only: list[str] | Non
             if staging:
                 found.write.mode("overwrite").parquet(f"{staging}/rule={rule.id}")
                 found = spark.read.schema(FINDING).parquet(f"{staging}/rule={rule.id}")
+            elif not plan_only:
+                found = cut_lineage(found)
         except Exception as error:  # noqa: BLE001  any fault of a rule is reported, not raised
             found = _broken(spark, rule, error)
         parts.append(found)

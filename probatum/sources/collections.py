@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,26 +41,38 @@ def property_types(frames: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "collection string, field string, type string")
 
 
+def _files(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def write_collections(frames: dict[str, DataFrame], root: str) -> dict[str, int]:
-    """Write all collections or none: each is staged, and promoted once all are written.
+    """Write all collections or none; returns the row counts, read back from what was written.
 
-    Returns the row counts, read back from the staged tables.
+    The tables go to a version folder of their own, which gets the file ``complete`` last.
+    Until then readers have the whole former version, afterwards the whole new one.  Former
+    versions stay.
     """
     spark = next(iter(frames.values())).sparkSession
-    counts = {}
+    version, counts = f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", {}
     for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{root}/_staging/{name}")
+        df.write.parquet(f"{root}/{version}/{name}")
     for name in frames:
-        counts[name] = spark.read.parquet(f"{root}/_staging/{name}").count()
-    system = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    as_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    for name in frames:
-        system.delete(as_path(f"{root}/{name}"), True)
-        system.rename(as_path(f"{root}/_staging/{name}"), as_path(f"{root}/{name}"))
-    system.delete(as_path(f"{root}/_staging"), True)
+        counts[name] = spark.read.parquet(f"{root}/{version}/{name}").count()
+    system, path = _files(spark, root)
+    system.create(path(f"{root}/{version}/complete"), False).close()
     return counts
 
 
+def read_collections(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """Collections of the version that was completed last."""
+    system, path = _files(spark, root)
+    versions = sorted(s.getPath().getParent().getName() for s in system.globStatus(path(f"{root}/version-*/complete")) or [])
+    if not versions:
+        raise FileNotFoundError(f"no complete collections under {root}")
+    return {name: spark.read.parquet(f"{root}/{versions[-1]}/{name}") for name in names}
+
+
 def write_snapshot(frames: dict[str, DataFrame], root: str, date: str, origin: str = "import") -> None:
     """Add a dated snapshot; a second run on the same date replaces it."""
     for name, df in frames.items():

@@ -9,6 +9,9 @@ large.  The caller lists each pack's distinct keys and joins them to its table,
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,6 +56,14 @@ def by_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             yield p, batch.take(pa.array(at))
 
 
+def hand_back_memory() -> None:
+    """Return what a finished pack has freed to the system: Python workers live on, and their task's neighbours need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def squeezed(rows: pa.Table) -> bytes:
     """A table, compressed: texts as their lengths and one run of bytes, which takes less than offsets; nulls only in numbers."""
     columns = {}
@@ -114,6 +125,7 @@ def _blocks(kind: int):
                 yield pressed(max(sizes, key=sizes.__getitem__))
         for pack in list(held):
             yield pressed(pack)
+        hand_back_memory()
     return run
 
 
@@ -131,6 +143,8 @@ def assembled(packed: DataFrame, pulled: DataFrame, use: Callable[[pa.Table | No
         del parts
         for block in blocks[0]:
             yield apply(unsqueezed(block))
+        del apply
+        hand_back_memory()
 
     both = packed.mapInArrow(_blocks(0), BLOCK).unionByName(pulled.mapInArrow(_blocks(1), BLOCK))
     return both.groupBy("pack").applyInArrow(run, schema)

@@ -16,7 +16,7 @@ level with joins on the suffix.  Packs of documents then pull the pairs that the
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from probatum.llm.packs import HELD_KEYS, assembled, by_pack, with_packs
+from probatum.llm.packs import HELD_KEYS, assembled, by_pack, hand_back_memory, with_packs
 from probatum.llm.shared import id_remainder, written
 
 #: bytes of context; at most 6, so that context and symbol fit 7 bytes of a long
@@ -126,16 +126,13 @@ def _counted(order: int):
             words.clear()
 
         for pack, batch in by_pack(batches):
-            texts = [text_bytes(t.as_py()) for t in batch.column("text")]
-            learns = batch.column("learns").to_pylist()
             counter = words.setdefault(pack, Counter())
             found = grams.setdefault(pack, [])
             for learn in (True, False):
-                chosen = [t for t, is_on in zip(texts, learns) if is_on is learn]
-                for a, b in _parts(chosen):
-                    keys, counts = np.unique(codes(chosen[a:b], order)[0], return_counts=True)
+                for chosen in _parts(text_bytes(t.as_py()) for t, is_on in zip(batch.column("text"), batch.column("learns")) if is_on.as_py() is learn):
+                    keys, counts = np.unique(codes(chosen, order)[0], return_counts=True)
                     found.append((keys, counts if learn else np.zeros_like(counts)))
-                    for t in chosen[a:b]:
+                    for t in chosen:
                         counter.update(t.split() if learn else dict.fromkeys(t.split(), 0))
             if sum(len(k) for k, _ in found) > HELD_KEYS:
                 found[:] = [summed(found)]
@@ -143,18 +140,21 @@ def _counted(order: int):
             if held > 2 * HELD_KEYS:
                 yield from hand_on()
         yield from hand_on()
+        hand_back_memory()
     return run
 
 
-def _parts(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    start, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _parts(texts: Iterable[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
+    """Runs of texts of ``most`` bytes or little more."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 class CodeTable:
@@ -163,7 +163,7 @@ class CodeTable:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         keys, at = np.unique(keys, return_index=True)
         values = values[at]
-        bits = max(4, int(4 * len(keys)).bit_length())
+        bits = max(4, int(2 * len(keys)).bit_length())
         self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
         self._keys = np.full(1 << bits, -1, dtype=np.int64)
         self._values = np.zeros(1 << bits)

@@ -39,3 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = is_now
         now = written(_small_star(_large_star(now)), "edges")
     return now.select("u", F.col("v").alias("root"))
+
+
+def least_rows(rows: DataFrame) -> DataFrame:
+    """``row``: of ``rows(row, doc_id, root)`` one per root, the smallest row of the smallest id; null ids come last."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    return rows.groupBy("root").agg(F.min(place).alias("least")).select("least.row")

@@ -1,8 +1,8 @@
 """Mix sources to target weights by systematic sampling.
 
 Every document of a source expects the same number of copies, its source's target over its
-source's size.  The expected copies are summed along the source's documents, one random
-offset is added, and a document is taken once per integer boundary that its part of the sum
+source's size.  The expected copies are summed along the source's documents, one offset
+(the constant 0.5 unless another is given) is added, and a document is taken once per integer boundary that its part of the sum
 crosses.  Documents run in order of size, so that each stretch of the sum holds like sizes
 and the words taken come near the target.
 """
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """``doc_id, size, source, source_size, target, copies, taken``, and the columns in ``carry``, for every row.
 
     ``size`` counts words between ASCII white space (null text: 0); ``copies`` is 0 to
-    ``most``; ``taken`` = copies times size.  ``offset`` in [0, 1) is the random start; the
+    ``most``; ``taken`` = copies times size.  ``offset`` in [0, 1) is the start; the
     same offset gives the same mix.  Rows of equal size run by id, equal ids together
     (repeated rows may change places among themselves, which changes nothing).  A null
     source is a source of its own, last in order; null ids come last.  An empty table

@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from probatum.llm.shared import shared_folder, written
 from probatum.llm.tokens import WordIds, plain_splitter, slices, vocabulary
 
 END_ID = 2
-#: the dictionary is trained on about so many documents, chosen by hash, and so many bytes of each
+#: the dictionary is trained on about so many documents, chosen by hash, and so many bytes of each, in pieces where it is longer
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 1 << 16, 64 << 10
+PIECE_BYTES = 4 << 10
 #: bytes of frames in a file, about
 FILE_BYTES = 128 << 20
 WIDTH = "<u2"  # the vocabulary has fewer than 65,536 ids
@@ -54,6 +56,16 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
+def sampled(ids: bytes) -> bytes:
+    """Serialized ids for training: all of a short array, of a long one pieces at hashed positions over its whole length."""
+    if len(ids) <= SAMPLE_BYTES:
+        return ids
+    width, digest = np.dtype(WIDTH).itemsize, xxhash.xxh64_digest(ids)
+    places = (len(ids) - PIECE_BYTES) // width + 1
+    starts = sorted(xxhash.xxh64_intdigest(digest, seed=i) % places * width for i in range(SAMPLE_BYTES // PIECE_BYTES))
+    return b"".join(ids[a:a + PIECE_BYTES] for a in starts)
+
+
 def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID) -> bytes:
     """A zstandard dictionary from a bounded sample of documents; empty when there is too little to train on."""
     rows = docs.select("doc_id", "text")
@@ -62,7 +74,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID) -> bytes:
 
     def serialize(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"ids": [x[:SAMPLE_BYTES] for x in encoded(_texts(batch), path, end_id)]})
+            yield pa.RecordBatch.from_pydict({"ids": [sampled(x) for x in encoded(_texts(batch), path, end_id)]})
     # copies of one row share a hash: the bound on the sample is a hard one
     sample = [bytes(r.ids) for r in rows.where(chance == 0).mapInArrow(serialize, "ids binary").limit(4 * SAMPLE_DOCS).collect()]
     try:

@@ -2,7 +2,7 @@
 
 Texts are cut into words in tasks; the distinct words of all texts are encoded once each.
 Every pack of documents pulls the rows of its own words and puts its ids together by
-position.  Ids are decoded by meeting the table of the vocabulary's pieces, which has a
+position.  Ids are decoded by lookup in an array of the vocabulary's pieces, which has a
 fixed size and goes to every task.
 """
 

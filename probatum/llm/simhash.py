@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from probatum.llm.components import components
-from probatum.llm.shared import written
+from probatum.llm.components import components, least_rows
+from probatum.llm.shared import fresh, written
 
 BITS, SHINGLE, SEED, RADIUS = 64, 3, 42, 2
 #: buckets of up to so many fingerprints compare them directly, larger ones by their neighbours
@@ -85,6 +85,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _classes(marked: DataFrame) -> DataFrame:
+    """``fp, component_id`` for the fingerprints of ``marked(doc_id, fp)``, and the component's ``root``."""
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct)).withColumnRenamed("u", "fp")
+    rooted = written(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return written(rooted.join(named, "root").select("fp", "component_id", "root"), "classes")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row.
 
@@ -95,17 +104,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows each give a row, an empty table none; further columns are not read.
     """
     marked = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct)).withColumnRenamed("u", "fp")
-    rooted = written(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(rooted.join(named, "root").select("fp", "component_id"), "classes")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(classes, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
+    return marked.join(_classes(marked), "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id names their component; rows with a null id stay, they name none."""
-    stay = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.join(stay, doc_id, "left_semi")
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    """One row of each component: of the smallest id (null last) and, where rows share it, of the smallest row number."""
+    row, = fresh(docs, "row")
+    # written once, so that a row's number is the same wherever it is read
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    marked = written(rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    stay = least_rows(marked.join(_classes(marked), "fp").select("row", "doc_id", "root"))
+    return rows.join(stay.withColumnRenamed("row", row), row, "left_semi").select(*docs.columns)

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import bpe, exact_dedup, licenses, mixing, nbsvm, ppm, repetition, simhash, token_files, warc
+from probatum.llm import (bpe, chosen_path, exact_dedup, licenses, mixing, nbsvm, orchard, ppm, repetition, simhash, tile_rank,
+                          token_files, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,3 +129,84 @@ FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 def op10(spark: SparkSession, root: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, root, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _rounds() -> str:
+    """Ten rounds of exact clustering, one after the other."""
+    parts = []
+    for i in range(orchard.ROUNDS + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i})
+  GROUP BY vec_id)""")
+        if i < orchard.ROUNDS:
+            parts.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS x FROM (
+      SELECT best.c AS c, pos, sum(v[pos]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(pos) GROUP BY ALL) GROUP BY c) m
+  ON m.c = c{i}.c)""")
+    return ",".join(parts)
+
+
+@query("op11_orchard_clusters", f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR))::INT - 1 AS c, v AS x FROM kept
+  ORDER BY sha256('3:' || vec_id::VARCHAR) LIMIT 8),{_rounds()}
+SELECT vec_id, best.c AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256
+FROM a{orchard.ROUNDS} JOIN c{orchard.ROUNDS} ON best.c = c{orchard.ROUNDS}.c
+""")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return orchard.cluster(_table(spark, root, "embeddings"))
+
+
+@query("op12_chosen_paths", """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM worded),
+classes AS MATERIALIZED (  -- equal sets once
+  SELECT min(doc_id) AS id, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+items AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS shingle FROM classes),
+links AS MATERIALIZED (
+  SELECT a.id AS u, b.id AS v FROM items a JOIN items b ON a.shingle = b.shingle AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+sides AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached AS (
+  SELECT id AS u, id AS root FROM classes
+  UNION
+  SELECT sides.v, reached.root FROM reached JOIN sides ON sides.u = reached.u WHERE reached.root < sides.v),
+roots AS (SELECT u, min(root) AS root FROM reached GROUP BY u)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(root, sets.doc_id) AS component_id, sets.doc_id = coalesce(root, sets.doc_id) AS kept
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN roots ON roots.u = classes.id
+""")
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    return chosen_path.similar_documents(_table(spark, root, "documents"))
+
+
+@query("op13_blocked_ranking", """
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+counted AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM sizes),
+lengths AS (SELECT doc_id, 100 - 50 + (50 * n * docs) // l AS m FROM sizes, whole),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+""")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    return tile_rank.rank(_table(spark, root, "documents"), _table(spark, root, "benchmark"))

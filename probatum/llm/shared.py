@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: a word of the plain tokenisation: everything between ASCII white space
-WORD = r"[^\x20\x09-\x0D]+"
-
-_local: dict[str, str] = {}
-
+from probatum.lifetimes import catalog_table, scope, shared_folder, written
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster shares, for one written table.
+__all__ = ["WORD", "ascii_lower", "catalog_table", "fresh", "id_remainder", "scope", "shared_folder", "written"]
 
-    The folder is ``spark.checkpoint.dir``.  A local session without that setting (tests)
-    gets a temporary one; a cluster without it is refused.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local.setdefault(context.applicationId, tempfile.mkdtemp(prefix="shared-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: computed once, and kept when executors are lost."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: a word of the plain tokenisation: everything between ASCII white space
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ascii_lower(text: Column) -> Column:

@@ -34,10 +34,14 @@ def with_packs(docs: DataFrame, text: str = "text", pack_bytes: int = PACK_BYTES
     long as the files and the session's split size stay the same.
     """
     split = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
-    sizes = docs.select(split.alias("split"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n")).groupBy("split").agg(F.sum("n").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    parts = max(1, -(-largest // pack_bytes))
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(parts))
+    # splits of like length hold like amounts of text: a class for each power of two, and in it as many parts as its largest split needs
+    length = F.floor(F.log2(F.greatest(F.input_file_block_length(), F.lit(1)))).cast("int")
+    sizes = (docs.select(split.alias("split"), length.alias("length"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n"))
+             .groupBy("split", "length").agg(F.sum("n").alias("n")))
+    parts = F.lit(1)
+    for r in sizes.groupBy("length").agg(F.max("n").alias("n")).where(F.col("n") > pack_bytes).collect():
+        parts = F.when(length == r.length, F.lit(-(-r.n // pack_bytes))).otherwise(parts)
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), parts)
     return docs.withColumn("pack", F.xxhash64(F.input_file_name(), F.input_file_block_start(), part))
 
 
@@ -65,7 +69,11 @@ def hand_back_memory() -> None:
 
 
 def squeezed(rows: pa.Table) -> bytes:
-    """A table, compressed: texts as their lengths and one run of bytes, which takes less than offsets; nulls only in numbers."""
+    """A table, compressed; nulls only in numbers that don't ascend.
+
+    Texts are their lengths and one run of bytes, which takes less than offsets; long
+    integers that ascend are their differences.
+    """
     columns = {}
     for name, column in zip(rows.column_names, rows.columns):
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -75,12 +83,18 @@ def squeezed(rows: pa.Table) -> bytes:
             columns[f"n_{name}"] = pa.array([np.diff(ends).astype(np.uint32).tobytes()])
             columns[f"{'s' if pa.types.is_string(column.type) else 'b'}_{name}"] = pa.array([bytes(data)])
         else:
-            columns[f"v_{name}"] = pa.array([column.combine_chunks().to_pylist()], pa.list_(column.type))
+            values = column.combine_chunks()
+            kind = "v"
+            if pa.types.is_int64(values.type) and not values.null_count and len(values):
+                steps = np.diff(values.to_numpy(), prepend=0)
+                if (steps[1:] >= 0).all():
+                    kind, values = "d", pa.array(steps)
+            columns[f"{kind}_{name}"] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     table = pa.table(columns)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return zstandard.ZstdCompressor(level=9).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
 
 
 def unsqueezed(block: bytes) -> pa.Table:
@@ -91,6 +105,8 @@ def unsqueezed(block: bytes) -> pa.Table:
         kind, rest = name[0], name[2:]
         if kind == "v":
             columns[rest] = table[name].chunk(0).flatten()
+        elif kind == "d":
+            columns[rest] = pa.array(np.cumsum(table[name].chunk(0).flatten().to_numpy()))
         elif kind != "n":
             lengths = np.frombuffer(table[f"n_{rest}"][0].as_py(), np.uint32)
             ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from probatum.llm.packs import HELD_KEYS, assembled, by_pack, hand_back_memory, with_packs
-from probatum.llm.shared import id_remainder, written
+from probatum.llm.shared import id_remainder, scope, written
 
 #: bytes of context; at most 6, so that context and symbol fit 7 bytes of a long
 ORDER = 5
@@ -64,10 +64,11 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
     ``gram`` holds ``order`` bytes of context and the symbol; pairs with ``n`` 0 ask for the
     probability of what training never had.
     """
-    levels = {order: written(counts.select("gram", F.col("n").alias("c")), "grams")}
+    # each level is read for the next shorter one and for its own code lengths, and then deleted
+    levels = {order: written(counts.select("gram", F.col("n").alias("c")), "grams", readers=2)}
     for k in range(order - 1, -1, -1):
         shorter = levels[k + 1].groupBy(_suffix("gram", k + 1).alias("gram")).agg(F.count_if(F.col("c") > 0).alias("c"))
-        levels[k] = written(shorter, "grams")
+        levels[k] = written(shorter, "grams", readers=2 if k else 1)
 
     def paid(share: Column, of: Column) -> Column:
         # where nothing is left, nothing asks for the share: null
@@ -95,7 +96,7 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
         p = (F.when(F.col("n") == 0, F.col("p_low")).when(F.col("c") > 0, paid(F.col("c") - GIVEN, F.col("n")))
              .otherwise(paid(GIVEN * F.col("d"), F.col("n")) + F.col("r")))
         told = pairs.withColumn("r", escaped).withColumn("p", p)
-        known = written(told.select("gram", "p") if k == order else told.select("gram", "c", "n", "d", "r", "p"), "lengths")
+        known = written(told.select("gram", "p"), "lengths") if k == order else written(told.select("gram", "c", "n", "d", "r", "p"), "lengths", readers=1)
     return known.select("gram", "p")
 
 
@@ -236,18 +237,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (id_remainder(F.col(doc_id), folds) == 0).alias("held_out"))
-    packed = with_packs(rows)
-    asked = written(packed.select("pack", "text", (~F.col("held_out")).alias("learns"))
-                    .mapInArrow(_counted(order), "pack bigint, gram bigint, word string, n bigint"), "counts")
-    words = written(asked.where("gram IS NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    end_count = rows.where(~F.col("held_out")).count()
-    in_words, distinct = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    total, distinct = (in_words or 0) + end_count, distinct + (end_count > 0)
-    grams = code_lengths(asked.where("word IS NULL").groupBy("gram").agg(F.sum("n").alias("n")), order)
-    pulled = (asked.where("word IS NULL").join(grams, "gram").select("pack", "gram", F.lit("").alias("word"), F.col("p").alias("value"))
-              .unionByName(asked.where("gram IS NULL").join(words, "word").select("pack", F.lit(-1).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("value"))))
-    return assembled(packed, pulled, _scored(order, total, end_count, distinct),
-                     f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    with scope(docs.sparkSession) as tables:
+        packed = with_packs(rows)
+        asked = written(packed.select("pack", "text", (~F.col("held_out")).alias("learns"))
+                        .mapInArrow(_counted(order), "pack bigint, gram bigint, word string, n bigint"), "counts")
+        words = written(asked.where("gram IS NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
+        end_count = rows.where(~F.col("held_out")).count()
+        in_words, distinct = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+        total, distinct = (in_words or 0) + end_count, distinct + (end_count > 0)
+        grams = code_lengths(asked.where("word IS NULL").groupBy("gram").agg(F.sum("n").alias("n")), order)
+        pulled = (asked.where("word IS NULL").join(grams, "gram").select("pack", "gram", F.lit("").alias("word"), F.col("p").alias("value"))
+                  .unionByName(asked.where("gram IS NULL").join(words, "word").select("pack", F.lit(-1).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("value"))))
+        scored = written(assembled(packed, pulled, _scored(order, total, end_count, distinct),
+                         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"), "scores")
+        tables.keep(scored)
+    return scored
 
 
 # ------------------------------------------------------------------ adaptive

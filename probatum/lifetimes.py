@@ -84,6 +84,12 @@ class Scope:
                 del holder.tables[p]
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self, *frames: DataFrame) -> None:
+        """Delete the tables that these frames read, in this scope or one around it."""
+        for p in set().union(*map(self.read_by, frames)):
+            delete(self.spark, p)
+            del self._holder(p).tables[p]
+
     def keep(self, *frames: DataFrame) -> None:
         """The tables that these frames read go to the scope around this one (the session's, where there is none)."""
         outer = self.outer or _of_session(self.spark)
@@ -134,12 +140,20 @@ def written(df: DataFrame, name: str, readers: int | None = None) -> DataFrame:
     return (_current.get() or _of_session(df.sparkSession)).written(df, name, readers)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the written tables that these frames read; nothing else may still need them."""
+    (_current.get() or _of_session(frames[0].sparkSession)).release(*frames)
+
+
 def catalog_table(spark: SparkSession, name: str) -> str:
     """``name``, to be dropped with the scope around (outside any, with ``sweep``)."""
     (_current.get() or _of_session(spark)).named.add(name)
     return name
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all tables that finished jobs of this session have left for their results."""
-    _of_session(spark).close()
+def sweep(spark: SparkSession, *but: DataFrame) -> None:
+    """Delete all tables that finished jobs of this session have left for their results, but for those that ``but`` read."""
+    session = _of_session(spark)
+    kept = {p: session.tables.pop(p) for p in set().union(*map(session.read_by, but))}
+    session.close()
+    session.tables.update(kept)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.shared import written
+from probatum.llm.shared import release, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = None
     while (is_now := state(now)) != before:
-        before = is_now
+        before, last = is_now, now
         now = written(_small_star(_large_star(now)), "edges")
+        release(last)
     return now.select("u", F.col("v").alias("root"))
 
 

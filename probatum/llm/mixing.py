@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probatum.llm.shared import WORD, fresh, written
+from probatum.llm.shared import WORD, fresh, scope, written
 
 #: weights of the sources in code point order, repeating
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
+SEED = 10
 
 
 def _numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
@@ -60,27 +61,35 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return listed.withColumn("target", F.least(capacity, F.col("weight") * F.lit(per_weight)))
 
 
+def source_offset(source: Column, seed: int = SEED) -> Column:
+    """The first 32 bits of the md5 of ``seed:source`` (null: empty) as a fraction of 2^32."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, offset: float = 0.5,
+        weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED,
         carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, size, source, source_size, target, copies, taken``, and the columns in ``carry``, for every row.
 
     ``size`` counts words between ASCII white space (null text: 0); ``copies`` is 0 to
-    ``most``; ``taken`` = copies times size.  ``offset`` in [0, 1) is the start; the
-    same offset gives the same mix.  Rows of equal size run by id, equal ids together
+    ``most``; ``taken`` = copies times size.  ``seed`` draws an offset in [0, 1) for
+    each source (see ``source_offset``); the same seed gives the same mix.  Rows of equal size run by id, equal ids together
     (repeated rows may change places among themselves, which changes nothing).  A null
     source is a source of its own, last in order; null ids come last.  An empty table
     gives no rows; further columns are not read.
     """
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                               F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *carry), "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = source_targets(totals, weights, share, most)
-    placed = _numbered(rows, ["source"], [F.col("size").asc(), F.col("doc_id").asc_nulls_last()], "place").alias("p")
-    # a row per source: far fewer than documents, but of no proven bound, so the plan chooses the join
-    joined = placed.join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
+    with scope(docs.sparkSession) as tables:
+        rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+                                   F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *carry), "sizes")
+        totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+        targets = source_targets(totals, weights, share, most)
+        placed = _numbered(rows, ["source"], [F.col("size").asc(), F.col("doc_id").asc_nulls_last()], "place").alias("p")
+        # a row per source: far fewer than documents, but of no proven bound, so the plan chooses the join
+        joined = placed.join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
+        tables.keep(joined)
     expected = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(F.lit(0.0))
-    upto = lambda place: F.floor(place * expected + F.lit(float(offset)))
+    upto = lambda place: F.floor(place * expected + source_offset(F.col("t.source"), seed))
     copies = (upto(F.col("p.place")) - upto(F.col("p.place") - 1)).cast("bigint")
     return joined.select("p.doc_id", "p.size", "p.source", "t.source_size", "t.target", copies.alias("copies"),
                          (copies * F.col("p.size")).alias("taken"), *[F.col(f"p.{c}") for c in carry])
@@ -89,8 +98,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as ``mix`` takes it."""
     row, copies, nth = fresh(docs, "row", "copies", "nth")
-    # written once, so that a row's number is the same for its size and for its text
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    wanted = mix(rows, doc_id, text, source, carry=(row,), **how).where("copies > 0").select(row, F.col("copies").alias(copies))
+    with scope(docs.sparkSession) as tables:
+        # written once, so that a row's number is the same for its size and for its text
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        wanted = mix(rows, doc_id, text, source, carry=(row,), **how).where("copies > 0").select(row, F.col("copies").alias(copies))
+        joined = rows.join(written(wanted, "wanted"), row)
+        tables.keep(joined)
     each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(nth)
-    return rows.join(wanted, row).select(*docs.columns, each).drop(nth)
+    return joined.select(*docs.columns, each).drop(nth)

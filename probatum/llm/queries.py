@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from probatum.llm import (bpe, chosen_path, exact_dedup, licenses, mixing, nbsvm, orchard, ppm, repetition, simhash, tile_rank,
                           token_files, warc)
+from probatum.llm.shared import scope
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,8 +98,11 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """)
 def op9(spark: SparkSession, root: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.add(_table(spark, root, "documents"))
+    with scope(spark) as tables:
+        index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", lasting=False)
+        told = index.add(_table(spark, root, "documents"))
+        tables.keep(told)
+    return told
 
 
 @query("op10_systematic_mix", """
@@ -118,11 +122,12 @@ level AS (
     SELECT nth, weight, source_size, (1.5::DOUBLE * (SELECT sum(source_size) FROM totals) - held) / rest AS per_weight FROM filled)
   WHERE per_weight * weight < 2.0::DOUBLE * source_size),
 targets AS (
-  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * per_weight) AS target FROM weighed, level),
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * per_weight) AS target,
+         ('0x' || substr(md5('10:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM weighed, level),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS LAST) AS place FROM sized)
 SELECT p.doc_id, p.size::BIGINT AS size, t.source_size, t.target,
-       ((floor(p.place * (t.target / t.source_size) + 0.5::DOUBLE) - floor((p.place - 1) * (t.target / t.source_size) + 0.5::DOUBLE))
+       ((floor(p.place * (t.target / t.source_size) + start) - floor((p.place - 1) * (t.target / t.source_size) + start))
         * p.size)::BIGINT AS taken
 FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 """)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatum.lifetimes import catalog_table, scope, shared_folder, written
+from probatum.lifetimes import catalog_table, release, scope, shared_folder, sweep, written
+from probatum.operators.scale import fits_broadcast
 
-__all__ = ["WORD", "ascii_lower", "catalog_table", "fresh", "id_remainder", "scope", "shared_folder", "written"]
+__all__ = ["WORD", "ascii_lower", "catalog_table", "fresh", "id_remainder", "release", "scope", "shared_folder", "sweep", "without", "written"]
 
 #: a word of the plain tokenisation: everything between ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,3 +34,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def without(rows: DataFrame, gone: DataFrame, on: list[str], limit: int = 16 << 20) -> DataFrame:
+    """``rows`` but those in the written table ``gone``: broadcast up to ``limit`` bytes of it, joined by shuffle beyond."""
+    return rows.join(F.broadcast(gone) if fits_broadcast(gone, limit) else gone, on, "left_anti")

@@ -8,14 +8,16 @@ however deep it is.  ``TREES`` independent trees lose it with q^TREES, 1.5e-5 fo
 Small nodes compare their members exhaustively by sketches of minwise tokens; what these
 leave is checked on the full sets.
 
-Large nodes compare their members with one of them before they branch; nodes whose members
-are all connected by then are closed.  Nodes still large at the last level are compared
-exhaustively in pairs of blocks.
+First the members of a node are compared with one of them, and nodes whose members are all
+connected by then are closed.  A node is small if few of its members lie outside its largest
+component: only sets of different components need comparing.  Nodes that are still not
+small at the last level are compared exhaustively, all in bounded blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,12 @@ from pyspark.sql import functions as F
 
 from probatum.llm.components import components
 from probatum.llm.confirm import checked, connecting
-from probatum.llm.shared import scope, written
+from probatum.llm.shared import release, scope, written
 
 #: words of a shingle, and the least similarity of a link as a fraction
 SHINGLE, PART, WHOLE = 2, 80, 100
 TREES, BRANCHES, DEPTH = 4, 2, 5
-#: members of a node that is compared exhaustively; of a block of a node that stays larger
+#: members outside the largest component of a node that is compared exhaustively; members of a block of a larger node
 SMALL, BLOCK = 64, 256
 #: minwise tokens of a set; the first are the ways out of the roots
 POSITIONS = 96
@@ -170,16 +172,25 @@ def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
             good = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
 
-    chosen = large.groupBy("node").agg(F.min_by("row", F.xxhash64("row", "node")).alias("pivot"))
+    # by the row alone: nodes of one group of similar sets mostly choose the same member
+    chosen = large.groupBy("node").agg(F.min_by("row", F.xxhash64("row")).alias("pivot"))
     pivots = chosen.join(sets.select(F.col("row").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("other")), "pivot")
     met = large.join(pivots, "node").where("row <> pivot")
     return met.select(F.greatest("row", "pivot").alias("u"), F.least("row", "pivot").alias("v"), "n", "m", "sketch", "other").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _blocks(large: DataFrame) -> DataFrame:
+def _main_blocks(small: DataFrame) -> DataFrame:
+    """Members of small nodes in blocks: those outside the largest component are in every block of their node."""
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.array(F.pmod(F.xxhash64("row"), count).cast("int"))
+    blocks = F.when(F.col("root") == F.col("main"), own).otherwise(F.sequence(F.lit(0), count - 1))
+    return small.select(F.explode(blocks).alias("block"), "*").select(F.xxhash64("node", "block").alias("node"), "row", "n", "root", "sketch")
+
+
+def _pair_blocks(large: DataFrame) -> DataFrame:
     """Members of large nodes under every pair of blocks that theirs is part of: any two of a node meet, and no group is large."""
     count = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("row", "node"), count).cast("int")
+    own = F.pmod(F.xxhash64("row"), count).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda b: F.xxhash64("node", F.least(b, F.col("own")), F.greatest(b, F.col("own"))))
     return (large.withColumn("count", count).withColumn("own", own).withColumn("pair", F.explode(pairs))
             .select(F.col("pair").alias("node"), "row", "n", "root", "sketch"))
@@ -189,35 +200,33 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges ``(u, v)`` that connect all pairs of similar ``sets(row, n, tokens, sketch)``, distinct and none empty."""
     about = sets.select("row", "n", "sketch")
     level = sets.select("row", F.explode(_children(F.lit(0), F.col("tokens"), True)).alias("node"))
-    pairs, stars = None, None
+    pairs, known = [], None
     for depth in range(1, DEPTH + 1):
-        level = written(level, "level")
+        level = written(level, "level", readers=1)
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = written(level.join(sizes, "node").join(about, "row"), "nodes")
-        small = sized.where(F.col("size") <= SMALL).withColumn("root", F.col("row"))
-        found = written(compared(small), "pairs")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        large = sized.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            break
-        star = written(_stars(large, about), "stars")
-        new = written(checked(star, texts, shingles, alike), "links")
-        stars = new if stars is None else stars.unionByName(new)
-        roots = components(stars)
-        rooted = large.join(roots.withColumnRenamed("u", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-        rooted = written(rooted, "rooted")
-        open_nodes = rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
-        still = written(rooted.join(open_nodes, "node"), "open")
-        if still.isEmpty():
-            break
+        new = written(checked(written(_stars(sized, about), "stars"), texts, shingles, alike), "links")
+        known = new if known is None else known.unionByName(new)
+        roots = components(known).withColumnRenamed("u", "row")
+        rooted = written(sized.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
+        release(sized)
+        # by node and component, then the largest of a node: no node is gathered
+        parts = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"))
+        still = parts.groupBy("node").agg(F.max_by("root", "k").alias("main"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        still = written(rooted.join(still, "node"), "open")
+        release(rooted)
+        is_small = F.col("size") - F.col("most") <= SMALL
+        pairs.append(written(compared(_main_blocks(still.where(is_small))), "pairs"))
+        large = still.where(~is_small)
         if depth == DEPTH:
-            pairs = pairs.unionByName(written(compared(_blocks(still)), "pairs"))
+            pairs.append(written(compared(_pair_blocks(large)), "pairs"))
+        elif large.isEmpty():
+            break
         else:
-            level = (still.select("node", "row").join(sets.select("row", "tokens"), "row")
+            level = (large.select("node", "row").join(sets.select("row", "tokens"), "row")
                      .select("row", F.explode(_children(F.col("node"), F.col("tokens"), False)).alias("node")))
-    pairs = written(pairs.groupBy("u", "v").agg(F.max("likely").alias("likely")), "candidates")
-    more = connecting(pairs, texts, shingles, alike, stars)
-    return more if stars is None else more.unionByName(stars)
+    found = reduce(DataFrame.unionByName, pairs).groupBy("u", "v").agg(F.max("likely").alias("likely"))
+    return connecting(written(found, "candidates"), texts, shingles, alike, known).unionByName(known)
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

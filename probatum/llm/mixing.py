@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatum.llm.shared import WORD, fresh, scope, written
+from probatum.operators.scale import fits_broadcast
 
 #: weights of the sources in code point order, repeating
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 SEED = 10
+#: the list of rows that the mix takes is sent to all tasks up to so many bytes, and shuffled beyond
+SENT_BYTES = 16 << 20
 
 
 def _numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
@@ -102,7 +105,8 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
         # written once, so that a row's number is the same for its size and for its text
         rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
         wanted = mix(rows, doc_id, text, source, carry=(row,), **how).where("copies > 0").select(row, F.col("copies").alias(copies))
-        joined = rows.join(written(wanted, "wanted"), row)
+        wanted = written(wanted, "wanted")
+        joined = rows.join(F.broadcast(wanted) if fits_broadcast(wanted, SENT_BYTES) else wanted, row)
         tables.keep(joined)
     each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(nth)
     return joined.select(*docs.columns, each).drop(nth)

@@ -119,50 +119,102 @@ def list_pages(df: DataFrame, keys: list[str], order: str, value: str | Column,
 
 # ------------------------------------------------------------------ containment
 _GRAM = 8
+#: a word in more texts than this is looked up together with a second word of its pattern
+FREQUENT = 1000
 
 
-def _anchored(patterns: DataFrame, pattern_id: str, pattern: str) -> DataFrame:
-    tokens = F.filter(F.split("pattern", r"\s+"), lambda t: t != "")
-    longest = F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
-    return (patterns.select(F.col(pattern_id).alias("pattern_id"), F.col(pattern).alias("pattern"))
-            .where(F.col("pattern").isNotNull() & (F.col("pattern") != ""))
-            .withColumn("anchor", longest["t"])
-            .withColumn("single", ~F.regexp_like("pattern", F.lit(r"\s"))))
+def _split(text: str | Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
 def _words(texts: DataFrame, text_id: str, text: str) -> DataFrame:
-    words = F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != ""))
-    return texts.select(F.col(text_id).alias("text_id"), F.explode(words).alias("word"))
-
-
-def _anchor_words(anchors: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(anchor, word) where the word contains the anchor, by equality of short pieces."""
-    heads = anchors.select("anchor").distinct().withColumn(
-        "piece", F.substring("anchor", 1, _GRAM))
-    # only pieces as long as some anchor's: at most _GRAM lengths
-    lengths = heads.select(F.length("piece").alias("n")).distinct()
-    sized = vocabulary.select("word", F.explode(F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.length("word")))).alias("n"))
-    sized = sized.join(F.broadcast(lengths), "n", "left_semi")
+    return texts.select(F.col(text_id).alias("text_id"), F.explode(F.array_distinct(_split(text))).alias("word"))
+
+
+def _asked(patterns: DataFrame, pattern_id: str, pattern: str) -> DataFrame:
+    """``pattern_id, pattern, single, tokens``: what a text that holds the pattern must hold.
+
+    A token that has others on both sides is a word of its own in the text (``=`` before
+    it); a word ends with the first (``>``) and one starts with the last (``<``); a token
+    alone may be anywhere in a word (``~``).  Two inner tokens are enough, so the outer
+    ones are left out of longer patterns.
+    """
+    marked = lambda mark, t: F.concat(F.lit(mark), t)
+    split = _split("pattern")
+    inner = F.transform(F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))), lambda t: marked("=", t))
+    ends = F.when(F.size(split) > 1, F.array(marked(">", F.get(split, F.lit(0))), marked("<", F.get(split, F.size(split) - 1)))).otherwise(
+        F.transform(split, lambda t: marked("~", t)))
+    single = ~F.regexp_like("pattern", F.lit(r"\s"))
+    return (patterns.select(F.col(pattern_id).alias("pattern_id"), F.col(pattern).alias("pattern"))
+            .where(F.col("pattern").isNotNull() & (F.size(split) > 0)).select(
+                "*", single.alias("single"), F.array_distinct(F.when(F.size(inner) > 1, inner).otherwise(F.concat(inner, ends))).alias("tokens")))
+
+
+def _matches(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(token, word, df)`` where the word is, or holds in the right place, what the token asks for; ``df`` texts hold the word."""
+    asked = tokens.select("token", F.left("token", F.lit(1)).alias("mark"), F.expr("substring(token, 2)").alias("part"))
+    whole = asked.where("mark = '='").join(vocabulary, F.col("part") == F.col("word")).select("token", "word", "df")
+    head = F.when(F.col("mark") == ">", F.right("part", F.lit(_GRAM))).otherwise(F.left("part", F.lit(_GRAM)))
+    heads = asked.where("mark <> '='").withColumn("piece", head)
+    # only pieces as long as some token's: at most _GRAM lengths of each kind
+    lengths = heads.select("mark", F.length("piece").alias("n")).distinct()
+    sized = vocabulary.select("word", "df", F.explode(F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.length("word")))).alias("n"))
+    sized = sized.join(F.broadcast(lengths), "n")
     starts = F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)
-    pieces = F.array_distinct(F.transform(starts, lambda s: F.substring(F.col("word"), s, F.col("n"))))
-    grams = sized.select("word", F.explode(pieces).alias("piece"))
-    return (grams.join(heads, "piece").where(F.contains("word", F.col("anchor")))
-            .select("anchor", "word"))
+    pieces = (F.when(F.col("mark") == "<", F.array(F.left("word", F.col("n")))).when(F.col("mark") == ">", F.array(F.right("word", F.col("n"))))
+              .otherwise(F.array_distinct(F.transform(starts, lambda s: F.substring(F.col("word"), s, F.col("n"))))))
+    grams = sized.select("word", "df", "mark", F.explode(pieces).alias("piece"))
+    holds = (F.when(F.col("mark") == "<", F.startswith("word", F.col("part"))).when(F.col("mark") == ">", F.endswith("word", F.col("part")))
+             .otherwise(F.contains("word", F.col("part"))))
+    return whole.unionByName(grams.join(heads, ["mark", "piece"]).where(holds).select("token", "word", "df"))
+
+
+def _anchored(asked: DataFrame, matches: DataFrame) -> DataFrame:
+    """Patterns all of whose tokens are in some text, with the one or two that the fewest texts hold (``first``, ``second``)."""
+    df = matches.groupBy("token").agg(F.sum("df").alias("df"))
+    told = asked.select("pattern_id", "pattern", "single", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, "token")
+    ranked = told.groupBy("pattern_id", "pattern", "single", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") == F.col("n"))
+    return ranked.select("pattern_id", "pattern", "single", F.col("t")[0]["token"].alias("first"),
+                         F.when((F.col("n") > 1) & (F.col("t")[0]["df"] > FREQUENT), F.get("t", F.lit(1))["token"]).alias("second"))
+
+
+def _lookup(patterns: DataFrame, texts: DataFrame, pattern_id: str, pattern: str, text_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patterns with their anchors, the words that match these, and the words of all texts."""
+    asked = cut_lineage(_asked(patterns, pattern_id, pattern))
+    words = _words(texts, text_id, text)
+    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    matches = cut_lineage(_matches(asked.select(F.explode("tokens").alias("token")).distinct(), vocabulary))
+    anchored = cut_lineage(_anchored(asked, matches))
+    needed = anchored.select(F.explode(F.array("first", "second")).alias("token")).where("token IS NOT NULL").distinct()
+    return anchored, matches.join(needed, "token", "left_semi").select("token", "word"), words
+
+
+def containment_candidates(anchored: DataFrame, hits: DataFrame, words: DataFrame) -> DataFrame:
+    """``pattern_id, pattern, single, text_id``: texts that hold the anchors of a pattern.
+
+    A rare anchor is enough; beside a frequent one the text must hold the pattern's second,
+    so that patterns on one common word don't meet every text that holds it.
+    """
+    postings = words.join(hits, "word").select("token", "text_id").distinct()
+    alone = anchored.where("second IS NULL").join(postings.withColumnRenamed("token", "first"), "first")
+    both = anchored.where("second IS NOT NULL")
+    wanted = both.select("first", "second").distinct()
+    held = lambda c: postings.join(wanted.select(F.col(c).alias("token")).distinct(), "token", "left_semi").withColumnRenamed("token", c)
+    pairs = held("first").join(held("second"), "text_id").join(wanted, ["first", "second"], "left_semi")
+    out = ["pattern_id", "pattern", "single", "text_id"]
+    return alone.select(*out).unionByName(both.join(pairs, ["first", "second"]).select(*out))
 
 
 def containment_pairs(patterns: DataFrame, texts: DataFrame, pattern_id: str, pattern: str,
                       text_id: str, text: str) -> DataFrame:
     """All ``(pattern_id, text_id)`` where the text contains the pattern as a substring.
 
-    No pair is tested that does not share a word: the longest word of a pattern is
-    looked up in the distinct words of the texts, and only texts with such a word are
-    compared in full.
+    No pair is tested that does not share the pattern's rarest word, and where that is
+    frequent its second rarest too: these are looked up in the distinct words of the texts.
+    Patterns without any word, null ones too, are left out.
     """
-    anchored = _anchored(patterns, pattern_id, pattern)
-    words = _words(texts, text_id, text)
-    hits = _anchor_words(anchored, words.select("word").distinct())
-    postings = words.join(hits, "word").select("anchor", "text_id").distinct()
-    pairs = postings.join(anchored, "anchor")
+    anchored, hits, words = _lookup(patterns, texts, pattern_id, pattern, text_id, text)
+    pairs = containment_candidates(anchored, hits, words)
     alone = pairs.where("single").select("pattern_id", "text_id")
     whole = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("_text"))
     checked = (pairs.where("NOT single").join(whole, "text_id")
@@ -172,16 +224,11 @@ def containment_pairs(patterns: DataFrame, texts: DataFrame, pattern_id: str, pa
 
 def contained_somewhere(patterns: DataFrame, texts: DataFrame, pattern_id: str, pattern: str,
                         text_id: str, text: str) -> DataFrame:
-    """The ids of patterns that at least one text contains."""
-    anchored = _anchored(patterns, pattern_id, pattern)
-    words = _words(texts, text_id, text)
-    # small, and read twice
-    hits = cut_lineage(_anchor_words(anchored, words.select("word").distinct()))
-    alone = (anchored.where("single")
-             .join(hits.select("anchor").distinct(), "anchor", "left_semi").select("pattern_id"))
-    several = anchored.where("NOT single")
-    postings = words.join(hits, "word").select("anchor", "text_id").distinct()
+    """The ids of patterns that at least one text contains (see ``containment_pairs``)."""
+    anchored, hits, words = _lookup(patterns, texts, pattern_id, pattern, text_id, text)
+    # a single word is in a text if it is in a word: anchored at all
+    alone = anchored.where("single").select("pattern_id")
+    pairs = containment_candidates(anchored.where("NOT single"), hits, words)
     whole = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("_text"))
-    checked = (postings.join(several, "anchor").join(whole, "text_id")
-               .where(F.contains("_text", F.col("pattern"))).select("pattern_id").distinct())
+    checked = pairs.join(whole, "text_id").where(F.contains("_text", F.col("pattern"))).select("pattern_id").distinct()
     return alone.unionByName(checked)

@@ -82,11 +82,12 @@ def table_row(cells: Column, width: Column | None = None) -> Column:
 
 
 def assemble(rows: DataFrame, keys: list[str], order: str, text: str | Column, glue: str = "\n\n",
-             page_size: int = 10_000) -> DataFrame:
+             page_size: int = 10_000, ties: tuple[str, ...] = ()) -> DataFrame:
     """Join the texts of each document in order: ``(keys…, page, body)``.
 
-    A document of more than ``page_size`` rows goes on over further pages.
+    A document of more than ``page_size`` rows goes on over further pages, whose state is
+    carried by ``operators.claims.extract_paged_claims``.
     """
     pages = list_pages(rows.withColumn("_text", F.col(text) if isinstance(text, str) else text)
-                       .where("_text IS NOT NULL"), keys, order, "_text", page_size=page_size)
+                       .where("_text IS NOT NULL"), keys, order, "_text", ties=ties, page_size=page_size)
     return pages.select(*keys, "page", F.array_join("items", glue).alias("body"))

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from probatum.operators import scale
 from probatum.operators.scale import contained_somewhere, containment_pairs, list_pages, lookup_join, ordinal_within
 
 
@@ -59,3 +60,35 @@ def test_containment_equals_brute_force(spark):
     want = sorted((x, i) for x in patterns for i, text in enumerate(texts) if x in text)
     assert rows(containment_pairs(p, t, "p", "p", "tid", "text")) == want
     assert [r[0] for r in rows(contained_somewhere(p, t, "p", "p", "tid", "text"))] == sorted({x for x, _ in want})
+
+
+def test_containment_is_that_of_all_pairs(spark, monkeypatch):
+    draw = random.Random(5)
+    words = ["a", "ab", "abc", "bcd", "river", "riverbank", "the", "of", "x" * 12, "x" * 9 + "yz", "é", "12"]
+    some = lambda n, gap: gap.join(draw.choice(words) for _ in range(n))
+    patterns = [some(draw.randint(1, 5), draw.choice([" ", " ", "  ", "\n"])) for _ in range(150)] + ["river bank", "b r", " the", "the ", " ", "", None, "zzz", "the zzz of"]
+    patterns += [p[1:] for p in patterns[:40]] + [p[:-1] for p in patterns[:40]]
+    texts = [some(draw.randint(1, 25), " ") for _ in range(80)] + [patterns[3] + "!", "(" + patterns[7], None, ""]
+    p = spark.createDataFrame(list(enumerate(patterns)), "p int, pattern string")
+    t = spark.createDataFrame(list(enumerate(texts)), "t int, body string")
+    want = sorted((i, j) for i, x in enumerate(patterns) for j, y in enumerate(texts) if x and x.split() and y and x in y)
+    for frequent in (1000, 10, 0):
+        monkeypatch.setattr(scale, "FREQUENT", frequent)
+        assert rows(containment_pairs(p, t, "p", "pattern", "t", "body")) == want
+        assert rows(contained_somewhere(p, t, "p", "pattern", "t", "body")) == sorted({(i,) for i, _ in want})
+
+
+def test_patterns_on_a_common_word_meet_few_texts(spark):
+    """1,000 patterns share a word that half the texts hold."""
+    patterns = spark.range(1000).select(F.col("id").alias("p"), F.concat(F.lit("see the n"), F.col("id") * 7 % 1000, F.lit(" the report the end")).alias("pattern"))
+    body = F.when(F.col("id") % 2 == 0, F.concat(F.lit("we see the n"), F.col("id") % 3000, F.lit(" the report the end of it"))).otherwise(F.lit("nothing here"))
+    texts = spark.range(6000).select(F.col("id").alias("t"), body.alias("body"))
+    anchored, hits, words = scale._lookup(patterns, texts, "p", "pattern", "t", "body")
+    assert scale.containment_candidates(anchored, hits, words).count() == 1000 == containment_pairs(patterns, texts, "p", "pattern", "t", "body").count()
+    # all words of these are common: both anchors count
+    pairs = spark.range(1000).select(F.col("id").alias("p"), F.concat(F.lit("the a"), F.col("id") % 4, F.lit(" b"), F.floor(F.col("id") / 4) % 4, F.lit(" end")).alias("pattern"))
+    texts = spark.range(40_000).select(F.col("id").alias("t"), F.concat(F.lit("in the a"), F.col("id") % 5, F.lit(" b"), F.floor(F.col("id") / 5) % 5, F.lit(" end")).alias("body"))
+    anchored, hits, words = scale._lookup(pairs, texts, "p", "pattern", "t", "body")
+    assert anchored.where("second IS NULL").count() == 0
+    found = containment_pairs(pairs, texts, "p", "pattern", "t", "body").count()
+    assert scale.containment_candidates(anchored, hits, words).count() == found == 1000 * 40_000 // 25

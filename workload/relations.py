@@ -8,6 +8,7 @@ from probatum import fixed
 from probatum.operators import claims as C
 from probatum.operators import contain, graph, resolve
 from probatum.operators.scale import list_pages, placed
+from probatum.sources.documents import assemble
 from workload import sqltext as S
 from workload.records import quoted
 from workload.registry import query
@@ -47,6 +48,17 @@ def prose_claims(t):
                         "withheld", F.array_join("tiers", ";").alias("tiers"), F.col("unverifiedRef").alias("unverified"), "text")
 
 
+@query("paged_claims", f"""
+    WITH long AS (SELECT 'in-' || coalesce(source, '') AS slug, string_agg(body, chr(10) ORDER BY ord) AS body FROM rec_bodies GROUP BY source),
+    {PROSE_CLAIMS.replace("FROM rec_bodies", "FROM long")}
+    SELECT slug || '-' || i AS id, section, canonical AS lead_in, status, withheld, text FROM c""", ("bodies",))
+def paged_claims(t):
+    """All bodies of a source as one long document, in pages that end anywhere."""
+    lines = t.bodies.select(F.concat(F.lit("in-"), F.coalesce("source", F.lit(""))).alias("slug"), "ord", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    pages = assemble(lines, ["slug"], "ord", "line", glue="\n", page_size=97, ties=("pos",))
+    return C.extract_paged_claims(pages).select("id", "section", F.col("leadIn").alias("lead_in"), "status", "withheld", "text")
+
+
 @query("claims_with_hosts", f"""
     WITH {PROSE_CLAIMS}
     SELECT slug || '-' || i AS id, '/people/' || slug || '#claim-' || i AS url, p.name AS host, p.phase AS phase

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatum.config import Settings
-from probatum.operators.rules import ALL_RULES, FINDING, Rule
+from probatum.operators.rules import ALL_RULES, FINDING, Rule, first_of_same
 from probatum.operators.scale import cut_lineage
 from probatum.plans.build import typed_collections
 from probatum.operators import resolve
@@ -97,7 +97,8 @@ def sort_findings(findings: DataFrame) -> DataFrame:
 
 
 def dedup_findings(findings: DataFrame) -> DataFrame:
-    return findings.dropDuplicates(["rule", "message"])
+    """Of findings with the same rule and message the first by record and field."""
+    return first_of_same(findings)
 
 
 def counts_by_rule(findings: DataFrame) -> DataFrame:

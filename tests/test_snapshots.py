@@ -26,8 +26,8 @@ def test_kinds_of_change(spark):
 
 
 @pytest.mark.parametrize("was,now,severity,message", [
-    (dict(assessment="Decisive"), dict(assessment="Minor"), "warn", 'Assessment revised on "Test Person"'),
-    (dict(assessment="Decisive"), dict(assessment=None), "error", 'Assessment DELETED from "Test Person"'),
+    (dict(assessment="Decisive"), dict(assessment="Minor"), "warn", 'Assessment is another now: "Test Person"'),
+    (dict(assessment="Decisive"), dict(assessment=None), "error", 'Assessment taken away: "Test Person"'),
     (dict(contestedPoints="x"), dict(contestedPoints=None), "error", 'Contested points gone from "Test Person"'),
     (dict(oneLine="about 300 men"), dict(oneLine="300 men"), "warn", 'Hedge "about" removed from beside a number on "Test Person"'),
 ])
@@ -46,7 +46,7 @@ def test_deleted_records_and_moved_references(spark):
     now = {"sources": frame(spark, "sources", dict(slug="a", archivalReference="SHD 3H"))}
     rows = compare(was, now).suspicious.collect()
     assert sorted((r.severity, r.message) for r in rows) == [
-        ("error", 'Record deleted: "Test Source"'), ("warn", 'Archival reference changed but verification did not, on "Test Source"')]
+        ("error", 'Record deleted: "Test Source"'), ("warn", 'Other archival reference, same verification: "Test Source"')]
     moved = {"sources": frame(spark, "sources", dict(slug="a", archivalReference="x", verification="Catalogue verified"), dict(slug="b"))}
     assert compare(was, moved).suspicious.count() == 0
 

@@ -63,7 +63,7 @@ _BESIDE = lambda x, h: f"regexp_matches({x}, '(?i)\\b{h}\\b[^.]{{0,40}}?\\d|\\d[
                FROM rec_people_before b JOIN rec_people_after a USING (slug)),
          h(hedge, re) AS (VALUES {', '.join(f"({quoted(x)}, {quoted(x.replace('.', chr(92) + '.'))})" for x in fixed.HEDGES)})
     SELECT 'error' AS severity, slug, NULL AS field, 'Record deleted: "' || name || '"' AS message FROM rec_people_before WHERE slug NOT IN (SELECT slug FROM rec_people_after)
-    UNION ALL SELECT CASE WHEN coalesce(aa, '') = '' THEN 'error' ELSE 'warn' END, slug, 'assessment', CASE WHEN coalesce(aa, '') = '' THEN 'Assessment DELETED from "' ELSE 'Assessment revised on "' END || name || '"' FROM j WHERE ba IS DISTINCT FROM aa
+    UNION ALL SELECT CASE WHEN coalesce(aa, '') = '' THEN 'error' ELSE 'warn' END, slug, 'assessment', CASE WHEN coalesce(aa, '') = '' THEN 'Assessment taken away: "' ELSE 'Assessment is another now: "' END || name || '"' FROM j WHERE ba IS DISTINCT FROM aa
     UNION ALL SELECT 'error', slug, 'contestedPoints', 'Contested points gone from "' || name || '"' FROM j WHERE bc <> '' AND coalesce(ac, '') = ''
     UNION ALL SELECT 'warn', slug, 'oneLine', 'Hedge "' || hedge || '" removed from beside a number on "' || name || '"' FROM j, h
       WHERE bo <> ao AND regexp_matches(bo, '(?i)\\b' || re || '\\b[^.]{{0,40}}?\\d|\\d[^.]{{0,40}}?\\b' || re || '\\b') AND NOT regexp_matches(ao, '(?i)\\b' || re || '\\b[^.]{{0,40}}?\\d|\\d[^.]{{0,40}}?\\b' || re || '\\b')""",
@@ -74,7 +74,7 @@ def suspicious_people(t):
 
 @query("suspicious_sources", """
     SELECT 'error' AS severity, slug, NULL AS field, 'Record deleted: "' || title || '"' AS message FROM rec_sources WHERE slug NOT IN (SELECT slug FROM rec_sources_after)
-    UNION ALL SELECT 'warn', slug, 'archivalReference', 'Archival reference changed but verification did not, on "' || a.title || '"' FROM rec_sources b JOIN rec_sources_after a USING (slug)
+    UNION ALL SELECT 'warn', slug, 'archivalReference', 'Other archival reference, same verification: "' || a.title || '"' FROM rec_sources b JOIN rec_sources_after a USING (slug)
     WHERE a.archivalReference IS DISTINCT FROM b.archivalReference AND a.verification IS NOT DISTINCT FROM b.verification""", ("sources", "sources_after"))
 def suspicious_sources(t):
     return D.suspicious("sources", t.sources, t.sources_after, "title").select("severity", "slug", "field", "message")

@@ -55,3 +55,30 @@ def test_repeated_keys_are_refused(spark):
     twice = people(spark, dict(slug="a"), dict(slug="a"))
     with pytest.raises(DuplicateKeys):
         compare(twice, twice)
+
+
+def test_fields_of_either_side(spark):
+    was = spark.createDataFrame([("a", "1", "x", "h1"), ("b", "2", None, "h1"), ("c", "3", "y", "h1")], "slug string, n string, gone string, hash string")
+    now = spark.createDataFrame([("a", "1", None, "h2"), ("b", "2", "z", "h2"), ("c", "3", "w", "h1")], "slug string, n string, `came.in` string, hash string")
+    keys = D.changed_keys(was, now)
+    assert sorted((r.slug, r.kind) for r in keys.collect()) == [("a", "edited"), ("b", "edited")]
+    rows = {(r.slug, r.field): (r.before, r.after) for r in D.edited_fields(was, now, keys).collect()}
+    assert rows == {("a", "gone"): ("x", None), ("a", "came.in"): (None, None), ("b", "gone"): (None, None), ("b", "came.in"): (None, "z")}
+
+
+def test_a_moved_hash_alone_is_no_edit(spark):
+    was = spark.createDataFrame([("a", "1", "h1", "mon"), ("b", "2", "h1", "mon"), ("c", "3", "h1", "mon")], "slug string, n string, hash string, lastEdited string")
+    now = spark.createDataFrame([("a", "1", "h2", "tue"), ("b", "4", "h2", "tue"), ("d", "3", "h1", "tue")], "slug string, n string, hash string, lastEdited string")
+    assert sorted((r.slug, r.kind) for r in D.moved_keys(was, now).collect()) == [("a", "moved"), ("b", "moved"), ("c", "removed"), ("d", "added")]
+    keys = D.changed_keys(was, now)
+    assert sorted((r.slug, r.kind) for r in keys.collect()) == [("b", "edited"), ("c", "removed"), ("d", "added")]
+    fields = D.edited_fields(was, now, D.moved_keys(was, now)).collect()
+    assert [(r.slug, r.field, r.before, r.after) for r in fields] == [("b", "n", "2", "4")]
+    assert D.changed_keys(was.limit(0), now.limit(0)).collect() == []
+
+
+def test_an_assessment_column_that_went_is_told(spark):
+    was = people(spark, dict(slug="a", assessment="Decisive"))
+    now = {"people": people(spark, dict(slug="a"))["people"].drop("assessment")}
+    rows = compare(was, now).suspicious.collect()
+    assert [(r.severity, r.field, r.message) for r in rows] == [("error", "assessment", 'Assessment taken away: "Test Person"')]

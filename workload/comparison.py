@@ -44,6 +44,36 @@ def edited_order_fields(t):
     return D.edited_fields(before, after, keys, "o_orderkey").select("o_orderkey", "field", "before", "after")
 
 
+# columns that one side alone has, and hashes that move without a field
+_REV = {"before": "o_orderkey % 3", "after": "o_orderkey % 5"}
+
+
+def _ranked(t):
+    """Orders with a column that went and one that came; the stored hashes move by the key alone."""
+    was = t.orders.select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 4).cast("string").alias("shelf"), (F.col("o_orderkey") % 3).alias("hash"))
+    now = t.orders.select("o_orderkey", "o_orderstatus", F.lower("o_orderpriority").alias("urgency"), (F.col("o_orderkey") % 5).alias("hash"))
+    return was, now
+
+
+@query("union_field_edits", f"""
+    WITH m AS (SELECT o_orderkey, CAST(o_orderkey % 4 AS VARCHAR) AS shelf, lower(o_orderpriority) AS urgency FROM orders WHERE {_REV['before']} <> {_REV['after']})
+    SELECT o_orderkey, 'shelf' AS field, shelf AS before, NULL AS after FROM m
+    UNION ALL SELECT o_orderkey, 'urgency', NULL, urgency FROM m""")
+def union_field_edits(t):
+    before, after = _ranked(t)
+    keys = D.changed_keys(before, after, "o_orderkey")
+    return D.edited_fields(before, after, keys, "o_orderkey").select("o_orderkey", "field", "before", "after")
+
+
+@query("moved_hash_edits", f"""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'added' WHEN o_orderkey % 13 = 0 THEN 'removed' ELSE 'edited' END AS kind FROM orders
+    WHERE (o_orderkey % 17 = 0) <> (o_orderkey % 13 = 0)
+       OR o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0 AND {_REV['before']} <> {_REV['after']} AND {_MOVED} <> o_orderpriority""")
+def moved_hash_edits(t):
+    before, after = (df.withColumn("hash", F.col("o_orderkey") % n) for df, n in zip(_orders(t), (3, 5)))
+    return D.changed_keys(before, after, "o_orderkey")
+
+
 @query("change_volume", """
     WITH c AS (SELECT CASE WHEN b.slug IS NULL THEN 'added' WHEN a.slug IS NULL THEN 'removed' ELSE 'edited' END AS kind
       FROM rec_people_before b FULL JOIN rec_people_after a USING (slug)

@@ -23,20 +23,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with an edge down has that one alone, to a node that has none: then all point to the smallest."""
+    ends = edges.select("u", F.lit(1).alias("down"), (F.col("v") >= F.col("u")).cast("int").alias("wrong")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(0).alias("wrong")))
+    nodes = ends.groupBy("u").agg(F.sum("down").alias("down"), F.count_if(F.col("down") == 0).alias("up"), F.max("wrong").alias("wrong"))
+    return nodes.where("down > 1 OR (down > 0 AND up > 0) OR wrong > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(u, root)`` for every node of ``edges(u, v)`` but the roots: the smallest node it reaches.
 
-    Stars in turns, until nothing moves: a number of rounds that grows with the logarithm
+    Stars in turns, until all components are stars: a number of rounds that grows with the logarithm
     of the component's size.  A node's neighbours are never gathered in one place; the
     joins on a node with very many neighbours can be split.
     """
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
-
     now = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    before = None
-    while (is_now := state(now)) != before:
-        before, last = is_now, now
+    while not _are_stars(now):
+        last = now
         now = written(_small_star(_large_star(now)), "edges")
         release(last)
     return now.select("u", F.col("v").alias("root"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.components import components
+from probatum.llm.components import across, extended
 from probatum.llm.confirm import checked, connecting
 from probatum.llm.shared import release, scope, written
 
@@ -196,19 +196,18 @@ def _pair_blocks(large: DataFrame) -> DataFrame:
             .select(F.col("pair").alias("node"), "row", "n", "root", "sketch"))
 
 
-def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` that connect all pairs of similar ``sets(row, n, tokens, sketch)``, distinct and none empty."""
+def linked(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components ``(u, root)`` by all pairs of similar ``sets(row, n, tokens, sketch)``, distinct and none empty."""
     about = sets.select("row", "n", "sketch")
     level = sets.select("row", F.explode(_children(F.lit(0), F.col("tokens"), True)).alias("node"))
-    pairs, known = [], None
+    pairs, roots = [], None
     for depth in range(1, DEPTH + 1):
         level = written(level, "level", readers=1)
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = written(level.join(sizes, "node").join(about, "row"), "nodes")
         new = written(checked(written(_stars(sized, about), "stars"), texts, shingles, alike), "links")
-        known = new if known is None else known.unionByName(new)
-        roots = components(known).withColumnRenamed("u", "row")
-        rooted = written(sized.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
+        roots = extended(roots, new)
+        rooted = written(sized.join(roots.withColumnRenamed("u", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
         release(sized)
         # by node and component, then the largest of a node: no node is gathered
         parts = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"))
@@ -226,7 +225,8 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
             level = (large.select("node", "row").join(sets.select("row", "tokens"), "row")
                      .select("row", F.explode(_children(F.col("node"), F.col("tokens"), False)).alias("node")))
     found = reduce(DataFrame.unionByName, pairs).groupBy("u", "v").agg(F.max("likely").alias("likely"))
-    return connecting(written(found, "candidates"), texts, shingles, alike, known).unionByName(known)
+    found = across(found, roots).select("u", "v", "likely")
+    return connecting(written(found, "candidates"), texts, shingles, alike, roots)[1]
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,8 +244,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         marked = written(_marked(rows), "marked")
         groups = written(marked.where("n > 0").groupBy("digest", "n").agg(F.min("row").alias("rep")), "groups")
         sets = written(marked.join(groups.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "tokens", "sketch"), "sets")
-        edges = links(sets, rows)
-        roots = components(edges)
+        roots = linked(sets, rows)
         classed = groups.join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("root"))
         member = marked.select("row", "n", "digest").join(rows.select("row", "doc_id"), "row").join(classed, ["digest", "n"], "left")
         member = written(member.select("row", "doc_id", "n", "root"), "members")

@@ -46,6 +46,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
+def extended(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components ``roots(u, root)`` after further ``edges(u, v)``.
+
+    Only edges between two components take part, as edges between their smallest nodes, so
+    what is known already is not worked out anew.  Without ``roots`` the edges are all there is.
+    """
+    if roots is None:
+        return components(edges)
+    moved = components(across(edges.select("u", "v"), roots).select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
+    if moved.isEmpty():
+        return roots
+    to = moved.select(F.col("u").alias("root"), F.col("root").alias("to"))
+    now = roots.join(to, "root", "left").select("u", F.coalesce("to", "root").alias("root"))
+    return written(now.unionByName(moved), "roots")
+
+
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v, …)`` whose ends lie in different components, with ``u_root`` and ``v_root``."""
+    u, v = (roots.select(F.col("u").alias(x), F.col("root").alias(f"{x}_root")) for x in "uv")
+    rooted = pairs.join(u, "u", "left").join(v, "v", "left")
+    return rooted.withColumns({f"{x}_root": F.coalesce(f"{x}_root", x) for x in "uv"}).where("u_root <> v_root")
+
+
 def least_rows(rows: DataFrame) -> DataFrame:
     """``row``: of ``rows(row, doc_id, root)`` one per root, the smallest row of the smallest id; null ids come last."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.components import components
+from probatum.llm.components import across, extended
 from probatum.llm.shared import written
 
 
@@ -39,28 +39,20 @@ def checked(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str | None],
     return both.select("u", "v", "u_text", "v_text").mapInArrow(check, "u bigint, v bigint")
 
 
-def between_roots(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v, …)`` that ``edges(u, v)`` don't connect."""
-    roots = components(edges)
-    u, v = (roots.select(F.col("u").alias(x), F.col("root").alias(f"{x}_root")) for x in "uv")
-    rooted = pairs.join(u, "u", "left").join(v, "v", "left")
-    return rooted.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select(*pairs.columns)
-
-
 def connecting(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str | None], np.ndarray], alike: Callable[[np.ndarray, np.ndarray], bool],
-               known: DataFrame | None = None) -> DataFrame:
-    """Edges ``(u, v)`` among ``pairs(u, v, likely)``, distinct and v < u, that connect all that are alike.
+               roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(u, v)`` among ``pairs(u, v, likely)``, distinct and v < u, that connect all that are alike, and the components with them.
 
-    ``likely`` orders a text's partners; ``known`` are edges that are known already, and
-    are not given back.
+    ``likely`` orders a text's partners; ``roots(u, root)`` are components that are known
+    already, and no pair may lie within one.
     """
-    if known is not None:
-        pairs = written(between_roots(pairs, known), "pairs")
     first = pairs.groupBy("u").agg(F.max_by("v", F.struct("likely", -F.col("v"))).alias("a"), F.min("v").alias("b"))
     first = first.select("u", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
     first = written(first, "first")
     found = written(checked(first, texts, shingles, alike), "links")
-    edges = found if known is None else found.unionByName(known.select("u", "v"))
-    rest = pairs.select("u", "v").join(first, ["u", "v"], "left_anti")
-    rest = written(between_roots(rest, edges), "rest")
-    return found.unionByName(written(checked(rest, texts, shingles, alike), "links"))
+    roots = extended(roots, found)
+    rest = written(across(pairs.select("u", "v").join(first, ["u", "v"], "left_anti"), roots).select("u", "v"), "rest")
+    if rest.isEmpty():
+        return found, roots
+    more = written(checked(rest, texts, shingles, alike), "links")
+    return found.unionByName(more), extended(roots, more)

@@ -5,8 +5,9 @@ functions, and a set goes to the child named by its least token under each of th
 sets of similarity j go the same way at a branch with probability j, so at j = 0.8 and two
 branches a pair dies out in a tree with probability q = (0.2 + 0.8 q)^2 = 0.0625 at most,
 however deep it is.  ``TREES`` independent trees lose it with q^TREES, 1.5e-5 for four.
-Small nodes compare their members exhaustively by sketches of minwise tokens; what these
-leave is checked on the full sets.
+Small nodes compare their members exhaustively by sketches, minwise tokens and parities;
+what these leave is checked on the full sets.  Parities lose nothing: sets differ in at least
+as many tokens as in parities.
 
 First the members of a node are compared with one of them, and nodes whose members are all
 connected by then are closed.  A node is small if few of its members lie outside its largest
@@ -38,6 +39,8 @@ SMALL, BLOCK = 64, 256
 POSITIONS = 96
 #: tokens that a pair must share of them: at similarity 0.8 they are 76.8 on average, 58 or fewer in 3 of a million cases
 AGREE = 59
+#: classes of which a sketch holds the parities of a set's tokens
+CLASSES = 1024
 
 _MIX = np.random.default_rng(12).integers(1 << 32, size=(2, POSITIONS), dtype=np.uint64).astype(np.uint32) | np.array([[0], [1]], dtype=np.uint32)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -74,20 +77,27 @@ def minwise(h: np.ndarray) -> np.ndarray:
     return best
 
 
+def parity(h: np.ndarray) -> bytes:
+    """Whether a set has an odd number of tokens in each of ``CLASSES`` classes, as bits."""
+    odd = np.bincount((h % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _marked(texts: DataFrame) -> DataFrame:
-    """``row, n, digest, tokens, sketch`` of every text: ``tokens`` lead through the trees, a byte of each is the sketch."""
+    """``row, n, digest, tokens, sketch`` of every text: ``tokens`` lead through the trees, a byte of each and the parities are the sketch."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                sizes, digests, tokens = [], [], []
+                sizes, digests, tokens, parities = [], [], [], []
                 for t in part.column("text"):
                     h = shingles(t.as_py())
                     sizes.append(len(h))
                     digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                     tokens.append(minwise(h))
+                    parities.append(parity(h))
                 every = np.array(tokens, dtype=np.uint32)
-                sketches = [row.tobytes() for row in every.astype(np.uint8)]
+                sketches = [row.tobytes() + odd for row, odd in zip(every.astype(np.uint8), parities)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * POSITIONS), pa.array(every.reshape(-1).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), lists, pa.array(sketches, pa.binary())],
                                                  names=["row", "n", "digest", "tokens", "sketch"])
@@ -111,17 +121,24 @@ def _children(node: Column, tokens: Column, first: bool) -> Column:
 
 def _near(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the pairs may be alike by size and sketch, and how many tokens they share."""
+    tokens, odd = sketch[:, :POSITIONS], sketch[:, POSITIONS:].view(np.uint64)
     fits = WHOLE * np.minimum(n[i], n[j]) >= PART * np.maximum(n[i], n[j])
     same = np.zeros(len(i), dtype=np.int32)
     at = np.flatnonzero(fits)
     for start in range(0, len(at), 100_000):
         part = at[start:start + 100_000]
-        same[part] = (sketch[i[part]] == sketch[j[part]]).sum(axis=1)
+        apart = np.bitwise_count(odd[i[part]] ^ odd[j[part]]).sum(axis=1, dtype=np.int64)
+        part = part[(WHOLE + PART) * apart <= (WHOLE - PART) * (n[i[part]].astype(np.int64) + n[j[part]])]
+        same[part] = (tokens[i[part]] == tokens[j[part]]).sum(axis=1)
     return same >= AGREE, same
 
 
+def _sketches(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, POSITIONS + CLASSES // 8)
+
+
 def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
+    sketch = _sketches(table["sketch"].to_pylist())
     return table["node"].to_numpy(), table["row"].to_numpy(), table["n"].to_numpy(), table["root"].to_numpy(), sketch
 
 
@@ -166,7 +183,7 @@ def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            both = np.frombuffer(b"".join(batch.column("sketch").to_pylist() + batch.column("other").to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
+            both = _sketches(batch.column("sketch").to_pylist() + batch.column("other").to_pylist())
             k = batch.num_rows
             good, _ = _near(np.concatenate([n, m]), both, np.arange(k), np.arange(k, 2 * k))
             good = pa.array(good)
@@ -175,7 +192,7 @@ def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
     # by the row alone: nodes of one group of similar sets mostly choose the same member
     chosen = large.groupBy("node").agg(F.min_by("row", F.xxhash64("row")).alias("pivot"))
     pivots = chosen.join(sets.select(F.col("row").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("other")), "pivot")
-    met = large.join(pivots, "node").where("row <> pivot")
+    met = large.join(pivots, "node").where("row <> pivot").join(sets, "row")
     return met.select(F.greatest("row", "pivot").alias("u"), F.least("row", "pivot").alias("v"), "n", "m", "sketch", "other").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
@@ -184,7 +201,7 @@ def _main_blocks(small: DataFrame) -> DataFrame:
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.array(F.pmod(F.xxhash64("row"), count).cast("int"))
     blocks = F.when(F.col("root") == F.col("main"), own).otherwise(F.sequence(F.lit(0), count - 1))
-    return small.select(F.explode(blocks).alias("block"), "*").select(F.xxhash64("node", "block").alias("node"), "row", "n", "root", "sketch")
+    return small.select(F.explode(blocks).alias("block"), "*").select(F.xxhash64("node", "block").alias("node"), "row", "root")
 
 
 def _pair_blocks(large: DataFrame) -> DataFrame:
@@ -193,7 +210,7 @@ def _pair_blocks(large: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("row"), count).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda b: F.xxhash64("node", F.least(b, F.col("own")), F.greatest(b, F.col("own"))))
     return (large.withColumn("count", count).withColumn("own", own).withColumn("pair", F.explode(pairs))
-            .select(F.col("pair").alias("node"), "row", "n", "root", "sketch"))
+            .select(F.col("pair").alias("node"), "row", "root"))
 
 
 def linked(sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,7 +221,7 @@ def linked(sets: DataFrame, texts: DataFrame) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         level = written(level, "level", readers=1)
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = written(level.join(sizes, "node").join(about, "row"), "nodes")
+        sized = written(level.join(sizes, "node"), "nodes")
         new = written(checked(written(_stars(sized, about), "stars"), texts, shingles, alike), "links")
         roots = extended(roots, new)
         rooted = written(sized.join(roots.withColumnRenamed("u", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
@@ -215,10 +232,10 @@ def linked(sets: DataFrame, texts: DataFrame) -> DataFrame:
         still = written(rooted.join(still, "node"), "open")
         release(rooted)
         is_small = F.col("size") - F.col("most") <= SMALL
-        pairs.append(written(compared(_main_blocks(still.where(is_small))), "pairs"))
+        pairs.append(written(compared(_main_blocks(still.where(is_small)).join(about, "row")), "pairs"))
         large = still.where(~is_small)
         if depth == DEPTH:
-            pairs.append(written(compared(_pair_blocks(large)), "pairs"))
+            pairs.append(written(compared(_pair_blocks(large).join(about, "row")), "pairs"))
         elif large.isEmpty():
             break
         else:

@@ -80,3 +80,21 @@ def test_sketches_keep_similar_sets():
             a, b = chosen_path.minwise(np.concatenate([both, own[::2]])), chosen_path.minwise(np.concatenate([both, own[1::2]]))
             least = min(least, int((a.astype(np.uint8) == b.astype(np.uint8)).sum()))
     assert least >= chosen_path.AGREE
+
+
+def test_parities_drop_only_sets_below_the_similarity():
+    draw = np.random.default_rng(5)
+    rejected = kept = 0
+    for n, own in [(90, 10), (900, 100), (9000, 1000), (90, 20), (300, 60)]:  # members of both, and of each alone
+        for _ in range(30):
+            every = np.unique(draw.integers(1 << 63, size=n + 2 * own, dtype=np.uint64))
+            every = draw.permutation(every)
+            sets = [np.sort(np.concatenate([every[:n], every[n + k * own:n + (k + 1) * own]])) for k in (0, 1)]
+            sketch = np.frombuffer(b"".join(chosen_path.minwise(h).astype(np.uint8).tobytes() + chosen_path.parity(h) for h in sets), dtype=np.uint8).reshape(2, -1)
+            near, _ = chosen_path._near(np.array([len(h) for h in sets]), sketch, np.array([0]), np.array([1]))
+            if chosen_path.alike(*sets):
+                kept += 1
+                assert near[0]
+            else:
+                rejected += not near[0]
+    assert kept == 90 and rejected >= 50
